@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_codec
+from . import compression_language, piece_codec, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": piece_codec.query,
+    "op8_language": compression_language.query,
+    "op9_transport_stream": transport_stream.query,
 }
 
 ORACLES: dict[str, str] = {}
