@@ -31,8 +31,8 @@ from .common import arrow_column, table
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Units kept in a worker's cache. A unit longer than KEPT_CHARS is encoded without it.
-CACHE_UNITS, KEPT_CHARS = 400_000, 48
+#: Units, and compatible pairs of pieces, kept in a worker. A unit longer than KEPT_CHARS is encoded without the cache.
+CACHE_UNITS, CACHE_PAIRS, KEPT_CHARS = 160_000, 1 << 17, 48
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
 
@@ -61,7 +61,7 @@ class PieceCodec:
             self.automaton.add_word(p, len(p) - 1)
         self.automaton.make_automaton()
         self.shorter = {p: next((n for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), 0) for p in self.ids}
-        self.compatible = lru_cache(1 << 19)(self._compatible)
+        self.compatible = lru_cache(CACHE_PAIRS)(self._compatible)
         self.unit = lru_cache(CACHE_UNITS)(self._unit)
         byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         raw = [byte_of.get(i) or (" ⁇ ".encode() if i == self.unknown else b"" if special[i] else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression_language, piece_codec, transport_stream
+from . import bloom_sketch, compression_language, piece_codec, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": piece_codec.query,
+    "op5_bloom_sketch": bloom_sketch.query,
     "op8_language": compression_language.query,
     "op9_transport_stream": transport_stream.query,
 }
