@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, line_crf, piece_codec, transport_stream
+from . import bloom_sketch, compression_language, line_crf, order_minhash, piece_codec, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": piece_codec.query,
     "op5_bloom_sketch": bloom_sketch.query,
     "op6_line_crf": line_crf.query,
     "op8_language": compression_language.query,
+    "op10_order_minhash": order_minhash.query,
     "op9_transport_stream": transport_stream.query,
 }
 
