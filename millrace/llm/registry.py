@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, line_crf, main_text, order_minhash, piece_codec, transport_stream
+from . import bloom_sketch, compression_language, entropy_mix, line_crf, main_text, order_minhash, piece_codec, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": main_text.query,
     "op3_sentencepiece": piece_codec.query,
+    "op4_entropy_mix": entropy_mix.query,
     "op5_bloom_sketch": bloom_sketch.query,
     "op6_line_crf": line_crf.query,
     "op8_language": compression_language.query,
