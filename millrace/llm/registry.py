@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, entropy_mix, line_crf, main_text, order_minhash, piece_codec, transport_stream
+from . import bloom_sketch, compression_language, disclosure, entropy_mix, line_crf, main_text, order_minhash, piece_codec, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": main_text.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_entropy_mix": entropy_mix.query,
     "op5_bloom_sketch": bloom_sketch.query,
     "op6_line_crf": line_crf.query,
+    "op7_disclosure": disclosure.query,
     "op8_language": compression_language.query,
     "op10_order_minhash": order_minhash.query,
     "op9_transport_stream": transport_stream.query,
