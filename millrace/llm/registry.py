@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, disclosure, entropy_mix, line_crf, main_text, order_minhash, piece_codec, transport_stream
+from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": main_text.query,
+    "op2_license_scan": license_scan.query,
     "op3_sentencepiece": piece_codec.query,
     "op4_entropy_mix": entropy_mix.query,
     "op5_bloom_sketch": bloom_sketch.query,
@@ -20,4 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_transport_stream": transport_stream.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.ORACLE,
+}
