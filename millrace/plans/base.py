@@ -1,18 +1,17 @@
-"""Registered queries over the relational tables, each with DuckDB SQL that gives the same rows."""
+"""The register of queries, each with DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..sources.tables import table
 
+__all__ = ["ORACLES", "QUERIES", "register", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
 
 def register(name: str, oracle: str | None = None) -> Callable:
@@ -25,18 +24,3 @@ def register(name: str, oracle: str | None = None) -> Callable:
         return query
 
     return put
-
-
-@register(
-    "pricing_summary",
-    """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
-       avg(l_discount) AS avg_disc, count(*) AS count_order
-       FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""",
-)
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("sum_qty"), F.sum("l_extendedprice").alias("sum_base_price"), F.avg("l_discount").alias("avg_disc"), F.count("*").alias("count_order"))
-    )
