@@ -62,7 +62,7 @@ def _exact(x: Column) -> Column:
 
 def tilts(counts: DataFrame, goals: DataFrame, even: float = SHARE, cap: float = CAP) -> DataFrame:
     """Solves the dual for each source: rows of (key, source_size, target, full, mean, tilt). counts: key, size, n."""
-    mean = counts.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
+    mean = counts.groupBy("key").agg(F.greatest(F.sum(F.col("size") * F.col("n")) / F.sum("n"), F.lit(0.001)).alias("mean"))
     state = goals.join(mean, "key").withColumn("tilt", F.lit(0.0)).withColumn("low", F.lit(None).cast("double")).withColumn("high", F.lit(None).cast("double")).withColumn("off", F.lit(1.0))
     state = cut(state)
     for _ in range(STEPS):
