@@ -6,7 +6,8 @@ pointwise mutual information of entity and term, by the entity's own information
 the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT` different contexts, for
 entities that few texts have, are generalised from a share of `GENERALISE` on and removed from `REMOVE` on.
 
-Only DataFrame functions are used. A text is known by its digest, so equal texts count once and get equal spans.
+Only DataFrame functions are used. A text is known by its digest, so equal texts get equal spans, and copies are one
+context.
 
 The patterns are written so that a search never starts twice in one run of characters: a match begins where the run
 begins or where the last match ended, which finds the same as trying each place.
@@ -38,8 +39,8 @@ HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 WORD = r"[\p{L}\p{N}]+"
 REACH, SUPPORT, COMMON, GENERALISE, REMOVE, SHORTEST = 64, 3, 0.01, 0.5, 0.8, 3
-#: Terms that are sent to all executors at most; more are joined by shuffle.
-SENT_TERMS = 20_000
+#: Texts whose added spans are sent to all executors at most; more are joined by shuffle.
+SENT_TEXTS = 20_000
 
 
 def placed(text: Column, pattern: str, kind: str) -> Column:
@@ -95,8 +96,8 @@ def entity(span: Column) -> Column:
 
 
 def near_terms(found: DataFrame) -> DataFrame:
-    """Rows of (digest, entity, context, term, start, end) from rows of (digest, text, spans)."""
-    one = found.select("digest", "text", "spans", F.explode("spans").alias("s"))
+    """Rows of (digest, row, entity, context, term, start, end) from rows of (digest, row, text, spans)."""
+    one = found.select("digest", "row", "text", "spans", F.explode("spans").alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     left = F.substr(F.col("text"), F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
     right = F.substr(F.col("text"), end + 1, F.lit(REACH))
@@ -107,9 +108,9 @@ def near_terms(found: DataFrame) -> DataFrame:
     before = F.when(F.col("cut"), F.filter(placed(F.col("left"), WORD, "term"), lambda w: w["start"] > 0)).otherwise(placed(F.col("left"), WORD, "term"))
     shift = lambda words, by: F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
     words = F.concat(shift(before, start - F.char_length("left")), shift(placed(F.col("right"), WORD, "term"), end))
-    rows = one.select("digest", "spans", entity(F.col("s")).alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(words).alias("w"))
+    rows = one.select("digest", "row", "spans", entity(F.col("s")).alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(words).alias("w"))
     free = ~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return rows.where(free & (F.char_length("w.term") >= SHORTEST)).select("digest", "entity", "context", "w.*")
+    return rows.where(free & (F.char_length("w.term") >= SHORTEST)).select("digest", "row", "entity", "context", "w.*")
 
 
 def digest(text: Column) -> Column:
@@ -122,25 +123,23 @@ def disclosing(docs: DataFrame) -> DataFrame:
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    found = docs.select(F.col("text"), base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0).select(digest(F.col("text")).alias("digest"), "text", "spans")
-    return cut(near_terms(found))
+    found = docs.select(F.col("text"), base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    return cut(near_terms(found.select(digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row"), "text", "spans")))
 
 
 def _disclosing(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The distinct counts go in two steps, first by pair and text, so that a common entity's rows shrink where they are."""
+    """Counts are of documents. Those of all words are summed up where the documents are, before any word is moved or
+    looked up; distinct counts go in two steps, so that a common entity's rows shrink where they are."""
     pairs = terms.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    repeated = cut(terms.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).join(pairs, ["entity", "term"]))
-    wanted = repeated.select("term").distinct()
-    n_terms = wanted.count()
-    if not n_terms:
-        return repeated.select("entity", "term", F.lit(0.0).alias("share")).where("false")
-    total = docs.select(digest(F.col("text")).alias("d")).distinct().count()
-    each = docs.where(F.col("text").isNotNull()).select(digest(F.col("text")).alias("digest"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    # A checked number of short terms is sent to the words; else the words come to the terms.
-    each = each.join(F.broadcast(wanted), "term") if n_terms <= SENT_TERMS else each.distinct().join(wanted, "term")
-    by_term = each.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    by_entity = terms.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    rows = repeated.join(by_term, "term").join(by_entity, "entity").where(F.col("n_entity") <= COMMON * total)
+    repeated = cut(terms.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).join(pairs, ["entity", "term"]))
+    none = repeated.select("entity", "term", F.lit(0.0).alias("share")).where("false")
+    if repeated.isEmpty():
+        return none
+    total = docs.count()
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    by_term = docs.where(F.col("text").isNotNull()).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    by_entity = terms.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    rows = repeated.join(by_entity, "entity").where(F.col("n_entity") <= COMMON * total).join(by_term, "term")
     own = F.log(F.lit(float(total)) / F.col("n_entity"))
     share = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / own
     return cut(rows.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
@@ -161,7 +160,7 @@ def with_spans(docs: DataFrame, spans: str = "spans", added: str = "added") -> D
     more = added_spans(docs.select("text"))
     key = free_name(docs, "text_digest")
     more = more.select(F.col("digest").alias(key), F.col("added").alias(added))
-    if more.count() <= SENT_TERMS:
+    if more.count() <= SENT_TEXTS:
         more = F.broadcast(more)
     rows = docs.drop(spans, added).withColumn(key, digest(F.col("text"))).join(more, key, "left").drop(key)
     return rows.withColumn(added, F.coalesce(F.col(added), F.array().cast(ADDED))).withColumn(spans, base_spans(F.col("text")))
