@@ -36,6 +36,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 #: Words of class and id that mark what isn't main text.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side rail comment comments commentlist respond disqus discussion replies reply menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead cookie cookies consent gdpr notice notices alert warning popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations outbrain taboola pager pagination widget widgets toolbar skip hidden copyright legal".split())
 KEPT = frozenset({"html", "body", "article", "main"})
+#: Elements that count twice as much as other containers, and are kept whole.
+MAIN = frozenset({"article", "main"})
 #: Ancestors that a paragraph passes points to.
 LEVELS = 6
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -205,15 +207,15 @@ class Page:
             chars[self.parents[k]] += chars[k]
             linked[self.parents[k]] += linked[k]
         density = [a / b if b else 0.0 for a, b in zip(linked, chars, strict=True)]
-        score = [p * (1 - d) for p, d in zip(points, density, strict=True)]
+        score = [p * (1 - d) * (2 if t in MAIN else 1) for p, d, t in zip(points, density, self.tags, strict=True)]
         best = max(range(n), key=lambda k: (score[k], k))
         up = best
         while up >= 0:
-            if self.tags[up] in ("article", "main"):
+            if self.tags[up] in MAIN:
                 best = up
             up = self.parents[up]
         keep = {best}
-        if self.tags[best] not in ("article", "main"):
+        if self.tags[best] not in MAIN:
             for k in range(n):
                 if self.parents[k] == self.parents[best] and k != best and not self.aside[k]:
                     plain = self.tags[k] == "p" and (chars[k] > 80 and density[k] < 0.25 or chars[k] and not density[k])
