@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("format_bucketed", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = formats.bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "millrace_orders_bucketed", "o_custkey", 8)
+    rows = formats.bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), f"millrace_orders_{uuid.uuid4().hex}", "o_custkey", 8)
     return rows.groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
