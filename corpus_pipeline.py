@@ -45,7 +45,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = piece_codec.decode(piece_codec.encode(docs.select("doc_id", "source", "text"), path), path)
+    rows = piece_codec.encode_and_decode(docs.select("doc_id", "source", "text"), path)
     return rows.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

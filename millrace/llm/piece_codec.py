@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, table
+from .common import arrow_column, free_name, table
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
@@ -148,6 +148,12 @@ class PieceCodec:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text or ""), np.int32).tolist()
 
+    def encode_lists(self, texts: list[str]) -> pa.ListArray:
+        made = [self.encode_bytes(t) for t in texts]
+        offsets = np.zeros(len(made) + 1, np.int32)
+        np.cumsum([len(m) // 4 for m in made], out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))
+
     def runs(self, ids: list[int]) -> list[list[int]]:
         """Ids between control ids."""
         out: list[list[int]] = [[]]
@@ -192,13 +198,19 @@ def encode_column(spark: SparkSession, model_path: str) -> callable:
     """A column function from text to array<int> of ids with the end id. The model file is read on the driver."""
     proto = spark.sparkContext.broadcast(open(model_path, "rb").read())  # its size doesn't depend on the data
 
+    return arrow_column(lambda texts: codec(proto.value).encode_lists(texts), "array<int>")
+
+
+def both_column(spark: SparkSession, model_path: str) -> callable:
+    """A column function from text to struct<ids, decoded>, decoded being made of the ids: one worker for each core does
+    both, where two columns would keep two."""
+    proto = spark.sparkContext.broadcast(open(model_path, "rb").read())
+
     def rows(texts: list[str]) -> pa.Array:
-        made = [codec(proto.value).encode_bytes(t) for t in texts]
-        offsets = np.zeros(len(made) + 1, np.int32)
-        np.cumsum([len(m) // 4 for m in made], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))
+        ids = codec(proto.value).encode_lists(texts)
+        return pa.StructArray.from_arrays([ids, codec(proto.value).decode_lists(ids)], ["ids", "decoded"])
 
-    return arrow_column(rows, "array<int>")
+    return arrow_column(rows, "struct<ids:array<int>,decoded:string>")
 
 
 def decode_column(spark: SparkSession, model_path: str) -> callable:
@@ -234,6 +246,14 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
     return rows.withColumn(text, decode_column(rows.sparkSession, model_path)(F.col(f"`{ids}`")))
 
 
+def encode_and_decode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """All columns of `docs`, `ids` of the whole text and `decoded`, made of the ids. Columns of these names are
+    replaced."""
+    both = free_name(docs, "both")
+    made = docs.withColumn(both, both_column(docs.sparkSession, model_path)(F.col(f"`{text}`").cast("string")))
+    return made.withColumn("ids", F.col(both)["ids"]).withColumn("decoded", F.col(both)["decoded"]).drop(both)
+
+
 def ids_digest(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), " "), 256)
 
@@ -243,5 +263,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode(encode(docs, path), path)
+    out = encode_and_decode(docs, path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -59,6 +59,9 @@ def test_tables(spark, pair):
     want = library.encode("The thndedble") + [2]
     assert [(r["doc_id"], r["ids"], r["decoded"]) for r in rows] == [(1, want, "The thndedble")] * 2 + [(2, [2], ""), (None, [2], "")]
     assert piece_codec.encode(docs.limit(0), PATH).collect() == []
+    clash = docs.withColumn("both", docs["doc_id"])
+    once = piece_codec.encode_and_decode(clash, PATH).select("doc_id", "ids", "decoded", "both").collect()
+    assert [tuple(r)[:3] for r in once] == [tuple(r) for r in rows] and once[0]["both"] == 1
 
 
 def test_query(spark, sf_dir):
