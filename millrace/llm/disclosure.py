@@ -3,19 +3,19 @@
 Protected entities are e-mail addresses, IP addresses, payment cards and telephone numbers, found by pattern and check
 sum. Terms that stand near an entity, in one line and within `REACH` characters, are counted over the corpus: the
 pointwise mutual information of entity and term, by the entity's own information, is the share of the entity that
-the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT` different contexts, for
-entities that few texts have, are generalised from a share of `GENERALISE` on and removed from `REMOVE` on.
+the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT` different contexts are
+generalised from a share of `GENERALISE` on and removed from `REMOVE` on.
 
-Only DataFrame functions are used. A text is known by its digest, so equal texts get equal spans, and copies are one
-context.
+Only DataFrame functions are used. A text is known by its digest, so equal texts get equal spans; all counts are of
+different texts, so copies change nothing.
 
 The patterns are written so that a search never starts twice in one run of characters: a match begins where the run
 begins or where the last match ended, which finds the same as trying each place.
 
 Defined results: null counts as empty; texts of any length are searched whole; matches of one kind don't overlap, of
-different kinds they may, and both are kept; overlapping spans are replaced as one; entities of more than `COMMON` of
-all texts protect nothing further; without entities or repeated contexts no terms are added; an empty table gives no
-rows; other columns are kept.
+different kinds they may, and both are kept; overlapping spans are replaced as one; an entity that all texts have has
+no information, so no term discloses it; without entities or repeated contexts no terms are added; an empty table gives
+no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]{5}"}
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 WORD = r"[\p{L}\p{N}]+"
-REACH, SUPPORT, COMMON, GENERALISE, REMOVE, SHORTEST = 64, 3, 0.01, 0.5, 0.8, 3
+REACH, SUPPORT, GENERALISE, REMOVE, SHORTEST = 64, 3, 0.5, 0.8, 3
 #: Texts whose added spans are sent to all executors at most; more are joined by shuffle.
 SENT_TEXTS = 20_000
 
@@ -96,8 +96,8 @@ def entity(span: Column) -> Column:
 
 
 def near_terms(found: DataFrame) -> DataFrame:
-    """Rows of (digest, row, entity, context, term, start, end) from rows of (digest, row, text, spans)."""
-    one = found.select("digest", "row", "text", "spans", F.explode("spans").alias("s"))
+    """Rows of (digest, entity, context, term, start, end) from rows of (digest, text, spans)."""
+    one = found.select("digest", "text", "spans", F.explode("spans").alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     left = F.substr(F.col("text"), F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
     right = F.substr(F.col("text"), end + 1, F.lit(REACH))
@@ -108,9 +108,9 @@ def near_terms(found: DataFrame) -> DataFrame:
     before = F.when(F.col("cut"), F.filter(placed(F.col("left"), WORD, "term"), lambda w: w["start"] > 0)).otherwise(placed(F.col("left"), WORD, "term"))
     shift = lambda words, by: F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
     words = F.concat(shift(before, start - F.char_length("left")), shift(placed(F.col("right"), WORD, "term"), end))
-    rows = one.select("digest", "row", "spans", entity(F.col("s")).alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(words).alias("w"))
+    rows = one.select("digest", "spans", entity(F.col("s")).alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(words).alias("w"))
     free = ~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return rows.where(free & (F.char_length("w.term") >= SHORTEST)).select("digest", "row", "entity", "context", "w.*")
+    return rows.where(free & (F.char_length("w.term") >= SHORTEST)).select("digest", "entity", "context", "w.*")
 
 
 def digest(text: Column) -> Column:
@@ -119,36 +119,49 @@ def digest(text: Column) -> Column:
 
 def disclosing(docs: DataFrame) -> DataFrame:
     """Rows of (entity, term, share): terms that disclose an entity. docs: text."""
-    return _disclosing(docs, _terms(docs))
+    found = _found(docs)
+    return _disclosing(docs, _holders(found), cut(near_terms(found)))
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    found = docs.select(F.col("text"), base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
-    return cut(near_terms(found.select(digest(F.col("text")).alias("digest"), F.monotonically_increasing_id().alias("row"), "text", "spans")))
+def _texts(docs: DataFrame) -> DataFrame:
+    """Rows of (digest, text), each text once; null is empty."""
+    return docs.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["digest"])
 
 
-def _disclosing(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Counts are of documents. Those of all words are summed up where the documents are, before any word is moved or
-    looked up; distinct counts go in two steps, so that a common entity's rows shrink where they are."""
+def _found(docs: DataFrame) -> DataFrame:
+    """Rows of (digest, text, spans): each text with entities once."""
+    return cut(_texts(docs.where(F.size(base_spans(F.col("text"))) > 0)).withColumn("spans", base_spans(F.col("text"))))
+
+
+def _holders(found: DataFrame) -> DataFrame:
+    """Rows of (digest, entity): the entities of each text."""
+    return found.select("digest", F.explode("spans").alias("s")).select("digest", entity(F.col("s")).alias("entity")).distinct()
+
+
+def _disclosing(docs: DataFrame, holders: DataFrame, terms: DataFrame) -> DataFrame:
+    """Counts are of different texts. The words of each are summed up where it is, before any word is moved or looked
+    up; distinct counts go in two steps, so that a common entity's rows shrink where they are."""
     pairs = terms.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    repeated = cut(terms.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).join(pairs, ["entity", "term"]))
+    repeated = cut(terms.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).join(pairs, ["entity", "term"]))
     none = repeated.select("entity", "term", F.lit(0.0).alias("share")).where("false")
     if repeated.isEmpty():
         return none
-    total = docs.count()
+    total = docs.select(digest(F.col("text")).alias("digest")).distinct().count()
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    by_term = docs.where(F.col("text").isNotNull()).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    by_entity = terms.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    rows = repeated.join(by_entity, "entity").where(F.col("n_entity") <= COMMON * total).join(by_term, "term")
+    by_term = _texts(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    by_entity = holders.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    rows = repeated.join(by_entity.where(F.col("n_entity") < total), "entity").join(by_term, "term")
     own = F.log(F.lit(float(total)) / F.col("n_entity"))
-    share = F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / own
+    # Where n_entity is total, this is not asked for.
+    share = F.when(F.col("n_entity") < total, F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / own)
     return cut(rows.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
 def added_spans(docs: DataFrame) -> DataFrame:
     """Rows of (digest, added): for each text with disclosing terms, array<struct<start, end, term, share>>."""
-    terms = _terms(docs)
-    chosen = terms.join(_disclosing(docs, terms), ["entity", "term"]).groupBy("digest", "start", "end", "term").agg(F.max("share").alias("share"))
+    found = _found(docs)
+    terms = cut(near_terms(found))
+    chosen = terms.join(_disclosing(docs, _holders(found), terms), ["entity", "term"]).groupBy("digest", "start", "end", "term").agg(F.max("share").alias("share"))
     return cut(chosen.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "share"))).alias("added")))
 
 

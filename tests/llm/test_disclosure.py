@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import pytest
@@ -72,6 +73,34 @@ def test_terms_that_disclose_are_found_and_others_left(spark):
     assert texts[100] == "plain text number 0 with contact words at noon for all and now"
 
 
+def added(spark, texts):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    return {r["text"]: [(a["term"], round(a["share"], 9)) for a in r["added"]] for r in disclosure.with_spans(docs).collect()}
+
+
+def test_neither_copies_nor_the_size_of_the_table_change_the_terms(spark):
+    near = [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]
+    plain = [f"plain text number {k}" for k in range(20)]
+    got = added(spark, near + plain)
+    assert all(got[t] == [("zorblat", 1.0)] for t in near)
+    assert not any(got[t] for t in plain)
+    assert added(spark, near + near[:1] * 30 + plain + plain[:1] * 40) == got
+    more = added(spark, near + plain + [f"plain text number {k}" for k in range(20, 300)])
+    assert {t: more[t] for t in got} == got
+
+
+def test_an_entity_of_all_texts_has_no_information(spark):
+    assert not any(added(spark, [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]).values())
+
+
+def test_texts_with_an_entity_alone_count(spark):
+    near = [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]
+    alone = [f"jane@corp.example\n{k} {k}" for k in range(10, 16)]
+    # n_pair 3 of n_entity 9, n_term 3 + 1, total 20: log(20 * 3 / (9 * 4)) / log(20 / 9).
+    plain = ["zorblat"] + [f"plain {k}" for k in range(10)]
+    assert added(spark, near + alone + plain)[near[0]] == [("zorblat", round(math.log(60 / 36) / math.log(20 / 9), 9))]
+
+
 def test_sanitised_text_and_overlaps(spark):
     docs = spark.createDataFrame([(1, "+4111 1111 1111 1111x 10.0.0.1", 5), (1, "+4111 1111 1111 1111x 10.0.0.1", 5), (None, None, None)], "doc_id bigint, text string, spans int")
     got = disclosure.sanitise(docs).collect()
