@@ -4,7 +4,8 @@ Protected entities are e-mail addresses, IP addresses, payment cards and telepho
 sum. Terms that stand near an entity, in one line and within `REACH` characters, are counted over the corpus: the
 pointwise mutual information of entity and term, by the entity's own information, is the share of the entity that
 the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT` different contexts are
-generalised from a share of `GENERALISE` on and removed from `REMOVE` on.
+generalised from a share of `GENERALISE` on and removed from `REMOVE` on, wherever they stand in a text that has the
+entity.
 
 Only DataFrame functions are used. A text is known by its digest, so equal texts get equal spans; all counts are of
 different texts, so copies change nothing.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, table
@@ -41,6 +42,8 @@ WORD = r"[\p{L}\p{N}]+"
 REACH, SUPPORT, GENERALISE, REMOVE, SHORTEST = 64, 3, 0.5, 0.8, 3
 #: Texts whose added spans are sent to all executors at most; more are joined by shuffle.
 SENT_TEXTS = 20_000
+#: And their spans.
+SENT_SPANS = 200_000
 
 
 def placed(text: Column, pattern: str, kind: str) -> Column:
@@ -157,11 +160,35 @@ def _disclosing(docs: DataFrame, holders: DataFrame, terms: DataFrame) -> DataFr
     return cut(rows.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
+def _words(texts: DataFrame) -> DataFrame:
+    """Rows of (digest, term, start, end): all words of rows of (digest, text), in texts of any length."""
+    pairs = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("value"))
+    rows = texts.select("digest", F.posexplode(pairs).alias("at", "w")).select("digest", "at", F.char_length("w.gap").alias("gap"), F.col("w.value").alias("value"))
+    length = F.coalesce(F.char_length("value"), F.lit(0))
+    rows = rows.withColumn("end", F.sum((F.col("gap") + length).cast("bigint")).over(Window.partitionBy("digest").orderBy("at")))
+    return rows.where(F.col("value").isNotNull()).select("digest", F.lower("value").alias("term"), (F.col("end") - length).alias("start"), "end")
+
+
+def _marked(found: DataFrame, holders: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of (digest, term, share): the terms of each text that disclose one of its entities. Entities and terms
+    meet within a text only, so that an entity of many texts doesn't meet all its terms in each."""
+    if chosen.count() <= SENT_TEXTS:
+        chosen = F.broadcast(chosen)
+    held = holders.join(chosen.select("entity").distinct(), "entity", "left_semi")
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
+    said = found.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(words).alias("term"))
+    said = said.join(chosen.select("term").distinct(), "term", "left_semi")
+    return cut(said.join(held, "digest").join(chosen, ["entity", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share")))
+
+
 def added_spans(docs: DataFrame) -> DataFrame:
     """Rows of (digest, added): for each text with disclosing terms, array<struct<start, end, term, share>>."""
     found = _found(docs)
-    terms = cut(near_terms(found))
-    chosen = terms.join(_disclosing(docs, _holders(found), terms), ["entity", "term"]).groupBy("digest", "start", "end", "term").agg(F.max("share").alias("share"))
+    holders = _holders(found)
+    marked = _marked(found, holders, _disclosing(docs, holders, cut(near_terms(found))))
+    texts = found.join(marked.select("digest").distinct(), "digest", "left_semi")
+    chosen = _words(texts).join(marked, ["digest", "term"]).join(texts.select("digest", "spans"), "digest")
+    chosen = chosen.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
     return cut(chosen.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "share"))).alias("added")))
 
 
@@ -173,7 +200,8 @@ def with_spans(docs: DataFrame, spans: str = "spans", added: str = "added") -> D
     more = added_spans(docs.select("text"))
     key = free_name(docs, "text_digest")
     more = more.select(F.col("digest").alias(key), F.col("added").alias(added))
-    if more.count() <= SENT_TEXTS:
+    n_texts, n_spans = more.agg(F.count("*"), F.coalesce(F.sum(F.size(added)), F.lit(0))).first()
+    if n_texts <= SENT_TEXTS and n_spans <= SENT_SPANS:
         more = F.broadcast(more)
     rows = docs.drop(spans, added).withColumn(key, digest(F.col("text"))).join(more, key, "left").drop(key)
     return rows.withColumn(added, F.coalesce(F.col(added), F.array().cast(ADDED))).withColumn(spans, base_spans(F.col("text")))

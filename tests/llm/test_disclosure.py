@@ -89,6 +89,19 @@ def test_neither_copies_nor_the_size_of_the_table_change_the_terms(spark):
     assert {t: more[t] for t in got} == got
 
 
+def test_a_disclosing_term_is_marked_wherever_it_stands(spark):
+    far = "😀 " + "filler " * 20
+    near = [f"zorblat {w} jane@corp.example {far}Zorblat\nand ZORBLAT zorblat@corp.example" for w in ("one", "two", "three")]
+    apart = f"jane@corp.example\n{far}\nzorblat"
+    other = "zorblat joe@corp.example"
+    docs = spark.createDataFrame([(t,) for t in [*near, apart, other] + [f"filler and one two three {k}" for k in range(40)]], "text string")
+    rows = {r["text"]: r["added"] for r in disclosure.with_spans(docs).collect()}
+    for text in (*near, apart):
+        got = [(a["start"], a["end"]) for a in rows[text] if a["term"] == "zorblat"]
+        assert got == [m.span() for m in re.finditer("zorblat(?!@)", text, re.I)]
+    assert not rows[other]  # it has another entity
+
+
 def test_an_entity_of_all_texts_has_no_information(spark):
     assert not any(added(spark, [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]).values())
 
