@@ -4,7 +4,8 @@ A text is brought to a canonical form: lines that only state a copyright go, the
 punctuation and white space are made even. The digest of the whole canonical text is looked up among the digests of
 known licence texts by a hash join; so is each line that speaks of a licence, among those of known notices.
 
-Only DataFrame functions are used. The known table is fixed and has a few dozen rows, so it is sent to all executors.
+Only DataFrame functions are used. The known table is fixed and has under a hundred rows (texts with and
+without their titles and appendices, and notices), so it is sent to all executors.
 
 Defined results: null and empty texts have no licence; a text that is a known one but for a word has none; a notice
 that occurs on several lines is named once and counted each time; a notice that is the whole text is both; repeated
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, table
-from .license_texts import EQUAL_SPELLINGS, FULL, NOTICES
+from .license_texts import EQUAL_SPELLINGS, KNOWN
 
 #: A line that only states a copyright.
 COPYRIGHT = r"^[^a-z0-9©]*(?:copyright[^a-z0-9©]*(?:\(c\)|©|[0-9]{4})|\(c\)[^a-z0-9]*[0-9]{4}|©|all rights reserved[^a-z0-9]*$)"
@@ -47,8 +48,7 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """Rows of (digest, license) of the fixed table."""
-    rows = [(name, text) for name, text in FULL.items()] + [(name, text) for name, texts in NOTICES.items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return spark.createDataFrame(KNOWN, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -78,8 +78,7 @@ def _sql_canonical(x: str) -> str:
 
 
 def _values() -> str:
-    rows = [(n, t) for n, t in FULL.items()] + [(n, t) for n, texts in NOTICES.items() for t in texts]
-    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in rows)
+    return ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN)
 
 
 _TEXT = f"array_to_string(list_filter(string_split(lower(coalesce(text, '')), chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT}')), chr(10))"

@@ -1,5 +1,7 @@
 """Public licence texts and notices that documents are looked up in."""
 
+from .license_files import FILES
+
 # The published texts (without their copyright lines) and usual one-line notices.
 FULL = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -46,8 +48,43 @@ NOTICES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 3.", "Licensed under the GPL, version 3."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "MIT License", "The MIT License"],
+    "MPL-1.1": ["Licensed under the Mozilla Public License 1.1."],
+    "MPL-2.0": ["Licensed under the Mozilla Public License 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License."],
 }
+#: Where the next condition goes in: BSD-3-Clause is BSD-2-Clause with one more.
+_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS"
+FULL["BSD-3-Clause"] = FULL["BSD-2-Clause"].replace("THIS SOFTWARE IS", _THIRD, 1)
+# Apache-2.0 has a notice in it; the MPL's lines aren't free to be spaced anew, since spellings and copyright lines hang
+# on them. These are whole texts as published, and notices.
+FULL |= {name: text for name, text in FILES.items() if name not in ("Apache-2.0", "MPL-1.1", "MPL-2.0")}
+#: Titles that the texts without one have in files.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _variants(text: str) -> list[str]:
+    """A text as published, without what follows its terms, and with the copyright line of its example filled in (such
+    lines count for nothing)."""
+    filled = "\n".join(line for line in text.split("\n") if not line.strip().startswith("Copyright ["))
+    return [text, text[: text.index(_END) + len(_END)], text[: text.index(_END)], filled] if _END in text else [text]
+
+
+#: All rows of the known table: (licence, text).
+KNOWN = [
+    *FULL.items(),
+    *((name, f"{title}\n\n{FULL[name]}") for name, titles in TITLES.items() for title in titles),
+    *((name, text) for name, whole in FILES.items() for text in _variants(whole)),
+    *((name, text) for name, texts in NOTICES.items() for text in texts),
+]
 #: Spellings that count as one, after lower case: pattern and replacement.
 EQUAL_SPELLINGS = [
     ("licence", "license"),

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from millrace.llm import license_scan
+from millrace.llm.license_files import FILES
 from millrace.llm.license_texts import FULL, NOTICES
 
 
@@ -16,6 +17,16 @@ def test_every_known_text_is_found_in_other_dress(spark):
         assert scanned(spark, [text + " more"]) == [(None, "", 0)]
 
 
+def test_usual_license_files_are_found(spark):
+    files = {n: FILES[n] for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")}
+    titled = {n: f"{title}\n\nCopyright (c) 2020 Somebody\n\n{FULL[n]}" for n, title in [("MIT", "MIT License"), ("ISC", "ISC License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License")]}
+    filled = FILES["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Somebody")
+    bare = FILES["Apache-2.0"].split("   APPENDIX:")[0]
+    want = [*files, *titled, "Apache-2.0", "Apache-2.0"]
+    assert filled != FILES["Apache-2.0"] != bare
+    assert [r[0] for r in scanned(spark, [*files.values(), *titled.values(), filled, bare])] == want
+
+
 def test_notices(spark):
     got = scanned(spark, ["text\nReleased under the MIT Licence.\nmore\nreleased under the mit license", None, "", "Licensed under CC-BY-NC 4.0", "a license of no kind"])
     assert got == [(None, "MIT", 2), (None, "", 0), (None, "", 0), ("CC-BY-NC-4.0", "CC-BY-NC-4.0", 1), (None, "", 0)]
