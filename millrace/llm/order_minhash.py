@@ -2,36 +2,39 @@
 
 A text is its words (runs of letters and digits, in lower case). Its five-word k-mers, each labelled with its number
 of occurrence, are hashed `BANDS` times; of each hash the `SAMPLED` smallest are taken and kept in the order in which
-they stand in the text, and make one bucket key. Texts in a bucket are candidates. A pair is a near-duplicate if an
-alignment of the two texts has at least `SIMILARITY` of the words of the longer one: common k-mers whose places differ
-by no more than the unaligned words allow (the band) are chained, and the gaps are compared word by word.
+they stand in the text, and make one bucket key. Two texts with a common key are candidates, whatever the bucket's
+size. A pair is a near-duplicate if `SIMILARITY` of the words of the longer text align: the longest common subsequence
+of words, by dynamic programming within the band of places that so many aligned words allow.
 
-Groups without all pairs: equal texts are one node, by their digest. In a bucket, every text is first compared with
-one pivot, so that a bucket of copies costs one comparison for each text. In buckets whose texts are not in one class
-then, the texts outside the largest class ask all those of other classes and like length with which they have three
-keys in common, whatever the bucket's size; the distances to the pivot rule most of these out. At a similarity of 0.8
-of the k-mers, two texts have fewer than three of the 24 keys in common with a chance of about 0.00001.
+Texts move to blocks, not to pairs. Equal texts are one node, by their digest. First all texts of a bucket are compared
+with one pivot, in blocks of at most about `CHUNK` texts or `CHUNK_WORDS` words, so that a bucket of copies costs one
+comparison for each text. In buckets whose texts are of several classes then, members are dealt to chunks by length;
+each two chunks that may hold near texts of different classes meet in one block. There a bound by counts of words,
+which no alignment exceeds, rules most pairs out before any is aligned, a pair is aligned in its first common bucket
+only, and what leaves a block are links between its classes, fewer than it has texts.
 
 Defined results: null counts as empty; texts without words are near only to equal texts; texts of fewer than five
 words are one k-mer; rows of equal text are in one class, repeated ids too; the class is named by its least doc_id
-(null if it has none); texts of any length are compared whole; an empty table gives no rows; other columns are kept.
+(null if it has none); texts of any length are compared whole, in memory that grows with their length; an empty table
+gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_column, cut, free_name, slices, table
 
-K, SAMPLED, BANDS, SIMILARITY = 5, 3, 24, 0.8
-#: Keys that two texts have in common to be compared without a pivot.
-SHARED = 3
+K, SAMPLED, BANDS, SIMILARITY = 5, 2, 32, 0.8
+#: Texts and words of a chunk, about; a block has one or two chunks, and one text more if that is longer.
+CHUNK, CHUNK_WORDS = 512, 500_000
+#: Counters of words for the bound, and bits of a text's places that are aligned at once.
+COUNTERS, PLACES = 1024, 1024
 U = np.uint64
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
@@ -123,79 +126,64 @@ def sketch(labels: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def chain(ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The longest chain of matches that rises in both texts; ia rises already."""
-    if not len(ib) or (np.diff(ib) > 0).all():
-        return ia, ib
-    tails: list[int] = []
-    last: list[int] = []
-    before = [-1] * len(ib)
-    for k, b in enumerate(ib.tolist()):
-        at = bisect_left(tails, b)
-        if at == len(tails):
-            tails.append(b)
-            last.append(k)
-        else:
-            tails[at], last[at] = b, k
-        before[k] = last[at - 1] if at else -1
-    keep, k = [], last[-1]
-    while k >= 0:
-        keep.append(k)
-        k = before[k]
-    keep.reverse()
-    return ia[keep], ib[keep]
-
-
-def similarity(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned words by the words of the longer text (0 if the lengths alone rule `least` out)."""
+Pattern = dict[int, list[tuple[int, int]]]
+
+
+def pattern(a: list[int]) -> Pattern:
+    """For each word the parts of the text that have it, with its places in each as bits."""
+    out: dict[int, dict[int, int]] = {}
+    for i, w in enumerate(a):
+        at = out.setdefault(w, {})
+        at[i // PLACES] = at.get(i // PLACES, 0) | 1 << i % PLACES
+    return {w: list(at.items()) for w, at in out.items()}
+
+
+def aligned(a: Pattern, na: int, b: list[int], least: int) -> int:
+    """Aligned words of two texts, or 0 as soon as fewer than `least` are sure. Only places no farther apart than
+    `least` allows are compared (the band, widened to whole parts). A part's bits are 1 where one more word of `a`
+    aligns no more words of the part; the addition carries a word's alignment on to the places behind it."""
+    band = max(na, len(b)) - least
+    full = (1 << PLACES) - 1
+    rows = [full] * (na // PLACES + 1)
+    top = len(rows) - 1
+    for j, w in enumerate(b):
+        carry, after = 0, -1
+        low, high = (j - band) // PLACES, (j + band) // PLACES
+        for part, places in a.get(w, ()):
+            if part < low:
+                continue
+            if part > high:
+                break
+            while carry and after < part:  # parts without the word only pass a carry on
+                carry, rows[after] = (rows[after] + 1) >> PLACES, (rows[after] + 1) & full | rows[after]
+                after += 1
+            row = rows[part]
+            up = row & places
+            total = row + up + carry
+            carry, rows[part] = total >> PLACES, total & full | (row - up)
+            after = part + 1
+        while carry and after <= min(top, high):
+            carry, rows[after] = (rows[after] + 1) >> PLACES, (rows[after] + 1) & full | rows[after]
+            after += 1
+        if j % 64 == 63 and PLACES * len(rows) - sum(map(int.bit_count, rows)) + len(b) - 1 - j < least:
+            return 0
+    got = PLACES * len(rows) - sum(map(int.bit_count, rows))
+    return got if got >= least else 0
+
+
+def fewest(na: int, nb: int, least: float = SIMILARITY) -> int:
+    """Aligned words that make two texts near."""
+    return int(np.ceil(least * max(na, nb) - 1e-9))
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """Aligned words by the words of the longer text; 0 if that is below `least`."""
     na, nb = len(a), len(b)
-    longer = max(na, nb)
-    if not longer:
-        return 1.0
-    if min(na, nb) < least * longer:
-        return 0.0
-    if na == nb and (a == b).all():
+    if not max(na, nb):
         return 1.0
-    _, ia, ib = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-    near = np.abs(ia - ib) <= (1 - least) * longer + 1
-    order = np.argsort(ia[near])
-    ia, ib = chain(ia[near][order], ib[near][order])
-    if not len(ia):
+    if min(na, nb) < fewest(na, nb, least):
         return 0.0
-    k = min(K, na, nb)
-    shift = ib - ia
-    cuts = np.flatnonzero(np.diff(shift)) + 1
-    heads, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(ia)]])
-    matched = a_end = b_end = 0
-    was = 0  # before the first match: both from their starts
-    for head, end in zip(heads, ends, strict=True):
-        d = int(shift[head])
-        lo, hi = max(int(ia[head]), a_end, b_end - d), int(ia[end - 1]) + k
-        if hi <= lo:
-            continue
-        matched += _gap(a, b, a_end, lo, b_end, lo + d, was, d) + int((a[lo:hi] == b[lo + d : hi + d]).sum())
-        a_end, b_end, was = hi, hi + d, d
-    return (matched + _gap(a, b, a_end, na, b_end, nb, was, nb - na)) / longer
-
-
-def _gap(a: np.ndarray, b: np.ndarray, a0: int, a1: int, b0: int, b1: int, d1: int, d2: int) -> int:
-    """Equal words of a[a0:a1] and b[b0:b1] along one diagonal up to some place and along another one from there."""
-    if a1 <= a0 or b1 <= b0:
-        return 0
-    n = a1 - a0
-    equal = []
-    for d in (d1, d2):
-        lo, hi = max(a0, b0 - d), min(a1, b1 - d)
-        e = np.zeros(n, np.int64)
-        if hi > lo:
-            e[lo - a0 : hi - a0] = a[lo:hi] == b[lo + d : hi + d]
-        equal.append(np.concatenate([[0], np.cumsum(e)]))
-    on, back = equal
-    step = max(0, d1 - d2)
-    best = int(on[-1])
-    if step <= n:
-        best = max(best, int((on[: n + 1 - step] + back[-1] - back[step:]).max()))
-    return best
+    return aligned(pattern(a.tolist()), na, b.tolist(), fewest(na, nb, least)) / max(na, nb)
 
 
 SKETCH = pa.struct([("words", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -214,27 +202,73 @@ def sketch_column() -> callable:
     return arrow_column(_sketches, "struct<words:bigint,keys:array<bigint>>")
 
 
-def _alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for left, right in batches:
-        if not len(left):
-            yield pa.array([], pa.float64())
-        at = 0
-        for part in slices(left, 2 << 20):
-            one, two = part.to_pylist(), right.slice(at, len(part)).to_pylist()
-            at += len(part)
-            place = {t: k for k, t in enumerate(dict.fromkeys(t or "" for t in one + two))}
-            w, begin = words(list(place))
-            labels, first = kmers(w, begin)
-            found = []
-            for x, y in zip(one, two, strict=True):
-                i, j = place[x or ""], place[y or ""]
-                found.append(similarity(w[begin[i] : begin[i + 1]], w[begin[j] : begin[j + 1]], labels[first[i] : first[i + 1]], labels[first[j] : first[j + 1]]))
-            yield pa.array(found, pa.float64())
-
-
-def similarity_column() -> callable:
-    """A column function from two texts to their aligned share of words."""
-    return F.arrow_udf(_alike, "double")
+LINK = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+
+
+def _links(rows: list[dict]) -> Iterator[tuple[bytes, bytes, float]]:
+    """Links of a block: of each pair of sides 0 and 1, or of two of side 2, that is near, unless the block's links
+    join the two already. Rows of one label are not compared, and pairs only in their first common bucket."""
+    w, begin = words([r["text"] or "" for r in rows])
+    n = np.diff(begin)
+    counts = np.zeros((len(rows), COUNTERS), np.uint16)
+    for k in range(len(rows)):
+        counts[k] = np.minimum(np.bincount((w[begin[k] : begin[k + 1]] >> U(20)).astype(np.int64) % COUNTERS, minlength=COUNTERS), 65535)
+    name = {x: k for k, x in enumerate(dict.fromkeys(r["label"] for r in rows))}
+    label = np.array([name[r["label"]] for r in rows])
+    side = np.array([r["side"] for r in rows])
+    keys = np.array([r["keys"] for r in rows]) if rows[0]["keys"] is not None else None
+    home = list(range(len(name)))
+
+    def root(x: int) -> int:
+        while home[x] != x:
+            home[x] = home[home[x]]
+            x = home[x]
+        return x
+
+    order = np.argsort(n, kind="stable")
+    for at, i in enumerate(order):
+        if side[i] == 1:
+            continue
+        rest = order[at + 1 :][side[order[at + 1 :]] == 2] if side[i] == 2 else np.flatnonzero(side == 1)
+        need = np.ceil(SIMILARITY * np.maximum(n[rest], n[i]) - 1e-9)
+        keep = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= need)
+        rest, need = rest[keep], need[keep]
+        if keys is not None and len(rest):
+            same = keys[rest] == keys[i]
+            first = keys[i][np.argmax(same, axis=1)] == rows[i]["bucket"]
+            rest, need = rest[first], need[first]
+        for few in range(0, len(rest), 256):
+            some, least = rest[few : few + 256], need[few : few + 256]
+            some = some[np.minimum(counts[some], counts[i]).sum(axis=1, dtype=np.int64) >= np.minimum(least, 65535)]
+            if not len(some):
+                continue
+            own = pattern(w[begin[i] : begin[i + 1]].tolist())
+            for j in some.tolist():
+                if root(label[i]) == root(label[j]):
+                    continue
+                got = aligned(own, int(n[i]), w[begin[j] : begin[j + 1]].tolist(), fewest(n[i], n[j]))
+                if got:
+                    home[root(label[i])] = root(label[j])
+                    x, y = rows[i]["digest"], rows[j]["digest"]
+                    yield max(x, y), min(x, y), got / int(max(n[i], n[j]))
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of all blocks of a partition that is sorted by block."""
+    block, rows = None, []
+
+    def made() -> pa.RecordBatch:
+        links = list(_links(rows)) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], LINK.field(k).type) for k in range(3)], schema=LINK)
+
+    for batch in batches:
+        for part in slices(batch):
+            for row in part.to_pylist():
+                if row["block"] != block:
+                    yield made()
+                    block, rows = row["block"], []
+                rows.append(row)
+    yield made()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,7 +276,7 @@ def components(edges: DataFrame) -> DataFrame:
     least neighbour or itself, and on to where that one goes until it stays, twice as far each time; edges are then
     drawn between where their ends went, so that chains of any length end soon. Only whether anything is left to do
     reaches the driver."""
-    left = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    left = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
     while True:
         both = left.union(left.select("b", "a"))
@@ -280,101 +314,101 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 #: Digests that are sent to all executors at most, 16 bytes each; more are joined by shuffle.
-SENT_DIGESTS = 200_000
+SENT_DIGESTS = 100_000
 
 
-def _measured(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests with their similarity. Of the texts only those of the pairs are moved, each once by its
-    digest; then a's text goes with the pair to b's, where a hot b can be split."""
-    wanted = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+def _linked(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) of rows (block, side, bucket, digest, label, keys). Of the texts only those that are
+    placed are moved, each once by its digest, then to its blocks."""
+    wanted = placed.select("digest").distinct()
     if wanted.count() <= SENT_DIGESTS:
         wanted = F.broadcast(wanted)
     texts = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    left = texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", similarity_column()(F.col("text_a"), F.col("text_b")).alias("similarity")))
+    full = placed.join(texts, "digest").repartition("block").sortWithinPartitions("block")
+    return cut(full.mapInArrow(_in_blocks, "a binary, b binary, similarity double"))
 
 
-#: Rows that a round compares by their keys at most, by the number of distinct texts: further ranks wait for the next.
-WORK_PER_TEXT, LEAST_WORK, WIDTHS = 200, 10_000_000, [4**k for k in range(20)]
+def _chunks(n: Column, n_words: Column) -> Column:
+    return F.ceil(F.greatest(n / CHUNK, n_words / CHUNK_WORDS, F.lit(1.0))).cast("int")
 
 
 def _fits(x: Column, y: Column) -> Column:
     return F.least(x, y) >= F.lit(SIMILARITY) * F.greatest(x, y)
 
 
-def _mixed(members: DataFrame, labels: DataFrame, tested: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Members of buckets that have more than one class, dealt to cells of like length, with their rank: those of
-    small classes come first, and those of the largest class never compare with each other, so they never ask."""
-    named = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    low = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
-    rest = named.join(mixed, "bucket", "left_semi").withColumn("low", low).withColumn("cell", F.explode(F.array(F.col("low"), F.col("low") + 1)))
-    sizes = rest.groupBy("bucket", "cell", "label").agg(F.count("*").alias("n"))
-    cells = sizes.groupBy("bucket", "cell").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("most")).where("size > most.n")
-    ranks = sizes.join(cells, ["bucket", "cell"]).withColumn("asks", F.col("label") != F.col("most.label"))
-    rest = rest.drop("size").join(ranks.select("bucket", "cell", "label", "n", "size", "asks"), ["bucket", "cell", "label"])
-    # How far each is from the bucket's pivot, where the two were compared.
-    far = tested.select(F.col("a").alias("digest"), F.col("b").alias("pivot"), F.col("similarity").alias("near_pivot"))
-    distance = (1 - F.col("near_pivot")) * F.greatest("words", "pivot_words")
-    rest = rest.join(far, ["digest", "pivot"], "left").join(nodes.select("digest", "keys"), "digest")
-    order = Window.partitionBy("bucket", "cell").orderBy(F.desc("asks"), "n", "label", "digest")
-    return cut(rest.withColumn("k", F.row_number().over(order)).withColumn("distance", distance).select("bucket", "cell", "low", "size", "asks", "k", "digest", "words", "distance", "keys"))
-
-
-def _candidates(rest: DataFrame, labels: DataFrame, above: int, until: int) -> DataFrame:
-    """Pairs of members that may be near: of different classes, like lengths, enough equal keys, and no farther from each
-    other than their distances to the pivot allow. A pair comes out in its first common bucket only."""
-    named = rest.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    asking = named.where(F.col("asks") & (F.col("k") > above) & (F.col("k") <= until))
-    asking = asking.select("bucket", "cell", *(F.col(c).alias(f"b_{c}") for c in ("low", "k", "digest", "words", "distance", "keys", "label")))
-    longer = F.greatest("words", "b_words")
-    # Distances are a metric: one text much nearer to the pivot than the other is not near to it. Half as much again
-    # allows for words that the alignment misses.
-    apart = F.abs(F.col("distance") - F.col("b_distance")) > 1.5 * (1 - SIMILARITY) * longer
-    equal = F.zip_with("keys", "b_keys", lambda x, y: x == y)
-    meets = (F.col("k") > F.col("b_k")) & (F.col("label") != F.col("b_label")) & _fits(F.col("words"), F.col("b_words")) & (F.col("cell") == F.greatest("low", "b_low"))
-    meets = meets & ~F.coalesce(apart, F.lit(False)) & (F.element_at("keys", F.array_position(equal, True).cast("int")) == F.col("bucket")) & (F.size(F.filter(equal, lambda x: x)) >= SHARED)
-    pairs = named.join(asking, ["bucket", "cell"]).where(meets)
-    return pairs.select(F.greatest("digest", "b_digest").alias("a"), F.least("digest", "b_digest").alias("b")).distinct()
-
-
-def classes(docs: DataFrame) -> DataFrame:
-    """Rows (node, label) for each text digest that is near to another text: label is the least digest of its class."""
+def _with_pivots(members: DataFrame) -> DataFrame:
+    """Blocks of pivots with the texts that share a bucket with them."""
+    fits = (F.col("digest") != F.col("pivot")) & _fits(F.col("words"), F.col("pivot_words"))
+    pairs = cut(members.where(fits).select("pivot", "digest", "words").distinct())
+    sizes = pairs.groupBy("pivot").agg(_chunks(F.count("*"), F.sum("words")).alias("chunks"))
+    block = F.xxhash64("pivot", "k").alias("block")
+    common = [F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("array<bigint>").alias("keys")]
+    others = pairs.join(sizes, "pivot").withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
+    pivots = sizes.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return cut(
+        pivots.select(block, F.lit(0).alias("side"), *common, F.col("pivot").alias("digest"), F.col("pivot").alias("label")).unionByName(
+            others.select(block, F.lit(1).alias("side"), *common, "digest", F.col("digest").alias("label"))
+        )
+    )
+
+
+def _mixed(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blocks of the buckets that have several classes: chunks by length (a band of it reaches to 1 / SIMILARITY of its
+    lower end, so that near texts are in one band or in two neighbours), those of the largest class apart, since they
+    needn't meet each other."""
+    named = members.select("bucket", "digest", "words").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    by_class = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("most"))
+    mixed = by_class.where("classes > 1").select("bucket", F.col("most.label").alias("largest"))
+    band = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
+    rest = cut(named.join(mixed, "bucket").select("bucket", "digest", "words", "label", band.alias("band"), (F.col("label") == F.col("largest")).alias("big")))
+    cell = ["bucket", "band", "big"]
+    cells = cut(rest.groupBy(*cell).agg(F.count("*").alias("n"), _chunks(F.count("*"), F.sum("words")).alias("chunks"), F.min("label").alias("low"), F.max("label").alias("high")))
+    chunks = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    one = chunks.withColumn("meets", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    two = chunks.select("bucket", F.col("band").alias("meets"), *(F.col(c).alias(f"{c}_2") for c in ("band", "big", "k", "low", "high")))
+    ordered = (F.col("band") < F.col("band_2")) | (F.struct("big", "k") <= F.struct(F.col("big_2"), F.col("k_2")))
+    differ = F.least("low", "low_2") != F.greatest("high", "high_2")
+    block = F.xxhash64("bucket", "band", "big", "k", "band_2", "big_2", "k_2")
+    met = one.join(two, ["bucket", "meets"]).where(ordered & differ & ~(F.col("big") & F.col("big_2"))).withColumn("block", block)
+    same = (F.col("band") == F.col("band_2")) & (F.col("big") == F.col("big_2")) & (F.col("k") == F.col("k_2"))
+    met = cut(met.withColumn("same", same).select("block", "same", "bucket", "band", "big", "k", "band_2", "big_2", "k_2"))
+    left = met.select("block", F.when(F.col("same"), 2).otherwise(0).alias("side"), *cell, "k")
+    right = met.where(~F.col("same")).select("block", F.lit(1).alias("side"), "bucket", F.col("band_2").alias("band"), F.col("big_2").alias("big"), F.col("k_2").alias("k"))
+    dealt = rest.join(cells.select(*cell, "chunks"), cell).withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
+    placed = dealt.join(left.unionByName(right), [*cell, "k"]).join(nodes.select("digest", "keys"), "digest")
+    return cut(placed.select("block", "side", "bucket", "keys", "digest", "label"))
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (node, label) for each text digest that is near to another text, where label is the least digest of its
+    class; and the links (a, b, similarity) that join the classes."""
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"), F.col("text"))
     found = rows.withColumn("s", sketch_column()(F.col("text"))).select("digest", F.col("s")["words"].alias("words"), F.col("s")["keys"].alias("keys"))
     nodes = cut(found.groupBy("digest").agg(F.first("words").alias("words"), F.first("keys").alias("keys")))
     members = nodes.select("digest", "words", F.explode("keys").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("digest", "words")).alias("pivot")).where("size > 1")
     members = cut(members.join(buckets, "bucket").select("bucket", "digest", "words", F.col("pivot.digest").alias("pivot"), F.col("pivot.words").alias("pivot_words")))
-    pairs = members.where((F.col("digest") != F.col("pivot")) & _fits(F.col("words"), F.col("pivot_words")))
-    tested = _measured(cut(pairs.select(F.col("digest").alias("a"), F.col("pivot").alias("b")).distinct()), rows)
-    labels = components(tested.where(F.col("similarity") >= SIMILARITY))
-    rest = _mixed(members, labels, tested, nodes)
-    asked = F.count_if("asks").alias("asked")
-    work = rest.groupBy("bucket", "cell").agg(asked, F.max("size").alias("size")).agg(F.max("asked"), *(F.sum(F.least(F.lit(w), F.col("asked")).cast("double") * F.col("size")) for w in WIDTHS)).first()
-    limit = max(LEAST_WORK, WORK_PER_TEXT * nodes.count())
-    done, most = 0, work[0] or 0
-    while done < most:
-        width = max([w for w, x in zip(WIDTHS, work[1:], strict=True) if x <= limit], default=1)
-        fresh = cut(_candidates(rest, labels, done, done + width))
-        fresh = cut(fresh.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        done += width
-        if not fresh.isEmpty():
-            more = _measured(fresh, rows)
-            tested = tested.unionByName(more)
-            labels = joined_labels(labels, more.where(F.col("similarity") >= SIMILARITY))
-    return labels
-
-
-def with_class(docs: DataFrame, found: str = "class_id") -> DataFrame:
-    """All columns of `docs` and `found`: the least doc_id of the row's class. A column of that name is replaced."""
-    digest, doc_id, label = (free_name(docs, x) for x in ("text_digest", "least_id", "class_label"))
-    rows = docs.drop(found).withColumn(digest, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    named = rows.groupBy(digest).agg(F.min("doc_id").alias(doc_id)).join(classes(docs.select("text")).select(F.col("node").alias(digest), F.col("label").alias(label)), digest, "left")
+    links = _linked(_with_pivots(members), rows)
+    labels = components(links)
+    more = _linked(_mixed(members, labels, nodes), rows)
+    return joined_labels(labels, more), links.unionByName(more).distinct()
+
+
+def with_class(docs: DataFrame, found: str = "class_id", similarity: str | None = None) -> DataFrame:
+    """All columns of `docs` and `found`: the least doc_id of the row's class. A column of that name is replaced.
+    `similarity`, if asked for: the greatest aligned share among the links of the row's text (null without any)."""
+    digest, doc_id, label, most = (free_name(docs, x) for x in ("text_digest", "least_id", "class_label", "most_alike"))
+    new = [found, similarity] if similarity else [found]
+    rows = docs.drop(*new).withColumn(digest, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    labels, links = classes(docs.select("text"))
+    named = rows.groupBy(digest).agg(F.min("doc_id").alias(doc_id)).join(labels.select(F.col("node").alias(digest), F.col("label").alias(label)), digest, "left")
     named = named.withColumn(label, F.coalesce(label, digest))
     least = named.groupBy(label).agg(F.min(doc_id).alias(found))
-    return rows.join(named.join(least, label).select(digest, found), digest).drop(digest)
+    named = named.join(least, label)
+    if similarity:
+        ends = links.select(F.col("a").alias(digest), "similarity").unionByName(links.select(F.col("b").alias(digest), "similarity"))
+        named = named.join(ends.groupBy(digest).agg(F.max("similarity").alias(most)), digest, "left").withColumn(similarity, F.col(most))
+    return rows.join(named.select(digest, *new), digest).drop(digest)
 
 
 def first_of_each_class(docs: DataFrame) -> DataFrame:
@@ -382,7 +416,7 @@ def first_of_each_class(docs: DataFrame) -> DataFrame:
     and of rows equal in both any one. The others are found without their texts and taken away."""
     digest, found, rank = (free_name(docs, x) for x in ("text_digest", "class_found", "row_rank"))
     rows = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    labels = classes(docs.select("text")).select(F.col("node").alias(digest), F.col("label").alias(found))
+    labels = classes(docs.select("text"))[0].select(F.col("node").alias(digest), F.col("label").alias(found))
     ids = rows.select("doc_id", digest).groupBy("doc_id", digest).agg(F.count("*").alias(rank))
     named = cut(ids.join(labels, digest, "left").withColumn(found, F.coalesce(found, digest)))
     first = named.groupBy(found).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest)).alias("first"))
@@ -399,5 +433,5 @@ def first_of_each_class(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_class(docs).select("doc_id", "class_id")
+    out = with_class(docs, similarity="similarity").select("doc_id", "class_id", "similarity")
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))

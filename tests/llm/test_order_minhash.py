@@ -16,8 +16,7 @@ def edited(rnd, t, share):
 
 def likeness(x, y):
     w, begin = om.words([x, y])
-    labels, first = om.kmers(w, begin)
-    return om.similarity(w[: begin[1]], w[begin[1] :], labels[: first[1]], labels[first[1] :])
+    return om.similarity(w[: begin[1]], w[begin[1] :])
 
 
 def lcs_share(x, y):
@@ -29,20 +28,32 @@ def lcs_share(x, y):
     return table[-1][-1] / max(len(a), len(b), 1)
 
 
-def test_alignment_against_the_longest_common_subsequence():
+@pytest.mark.parametrize("places", [5, 64, 1024])
+def test_alignment_equals_the_longest_common_subsequence(monkeypatch, places):
+    """Whole texts in one part or in many, within the band and at its edges."""
+    monkeypatch.setattr(om, "PLACES", places)
     rnd = random.Random(3)
     for _ in range(150):
-        x = text(rnd, rnd.randint(1, 120))
-        y = edited(rnd, x, rnd.choice([0.0, 0.03, 0.1]))
+        x = text(rnd, rnd.randint(1, 120)) if rnd.random() < 0.7 else " ".join(rnd.choice("abc") for _ in range(rnd.randint(1, 90)))
+        y = edited(rnd, x, rnd.choice([0.0, 0.03, 0.1, 0.2]))
         words = y.split()
-        for _ in range(rnd.randint(0, 3)):
+        for _ in range(rnd.randint(0, 4)):
             at = rnd.randint(0, len(words))
-            words[at:at] = text(rnd, rnd.randint(1, 3)).split()
+            words[at:at] = text(rnd, rnd.randint(1, 6)).split()
+        if rnd.random() < 0.3:
+            del words[: rnd.randint(0, len(words) // 4)]
         y = " ".join(words)
         got, exact = likeness(x, y), lcs_share(x, y)
-        assert got <= exact + 1e-9
-        if exact >= 0.9 and len(x.split()) > 20:
-            assert got >= exact - 0.08
+        assert got == pytest.approx(exact if exact >= om.SIMILARITY else 0.0)
+
+
+def test_counts_of_words_never_rule_out_a_near_pair():
+    rnd = random.Random(9)
+    texts = [text(rnd, 100)]
+    texts += [edited(rnd, texts[0], 0.15) for _ in range(40)]
+    rows = [{"text": t, "label": k, "digest": bytes([k]), "side": int(k > 0), "keys": None, "bucket": None} for k, t in enumerate(texts)]
+    want = {k for k in range(1, 41) if lcs_share(texts[0], texts[k]) >= om.SIMILARITY}
+    assert {a[0] for a, _, _ in om._links(rows)} == want and want
 
 
 def test_special_texts():
@@ -138,3 +149,37 @@ def test_hot_buckets_make_no_pairs_of_all(spark):
     copies = spark.createDataFrame([(k, edited(rnd, base, 0.02)) for k in range(300)], "doc_id bigint, text string")
     assert {r["class_id"] for r in om.with_class(copies).collect()} == {0}
     assert np.mean([likeness(base, edited(rnd, base, 0.02)) for _ in range(20)]) > 0.9
+
+
+@pytest.mark.parametrize("share", [0.03, 0.05, 0.08, 0.1, 0.15])
+def test_recall_of_near_pairs(share):
+    """Of pairs that are near, nine in ten at least have a key in common, and one is enough for the two to meet."""
+    rnd = random.Random(int(share * 100))
+    near = met = 0
+    for n in (300, 300, 300, 2000):
+        for _ in range(60):
+            x = text(rnd, n)
+            y = edited(rnd, x, share)
+            if likeness(x, y) >= om.SIMILARITY:
+                a, b = (r["keys"] for r in om._sketches([x, y]).to_pylist())
+                near += 1
+                met += any(p == q for p, q in zip(a, b, strict=True))
+    assert near >= 200 and met >= 0.9 * near
+
+
+def test_pairs_in_a_mixed_hot_bucket_meet(spark):
+    """Texts that share a passage and little else fill the buckets; of each some pairs are near, by a key or more."""
+    rnd = random.Random(11)
+    passage = text(rnd, 150)
+    rows, pairs = [], []
+    for k in range(700):
+        rows.append((k, f"{text(rnd, 75)} {passage} {text(rnd, 75)}"))
+    for k in range(60):
+        one = rows[k * 7][1].split()
+        two = [text(rnd, 1) if rnd.random() < 0.1 else w for w in one]
+        rows.append((1000 + k, " ".join(two)))
+        pairs.append((k * 7, 1000 + k, likeness(rows[k * 7][1], " ".join(two)) >= om.SIMILARITY))
+    got = {r["doc_id"]: r["class_id"] for r in om.with_class(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    near = [(a, b) for a, b, is_near in pairs if is_near]
+    assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near) > 40
+    assert all(got[k] == k for k in range(700))
