@@ -1,15 +1,20 @@
 """The main text of web pages by tree scoring.
 
 Markup is read into a tree of block elements. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are left out, by element, role, and words of class and id. Every paragraph then passes
-points (one, one for each comma, one for each hundred characters up to three) to its parent, half as many to the
-next ancestor and fewer to further ones; a container's points are discounted by the share of its text in links. The
-best container (or the article or main element around it) is kept whole, with those of its siblings that score a
-fifth of it or are long paragraphs with few links.
+styles and reader comments are left out, by element, role, and names of class and id (a name counts if all its words
+do, so that `share-price` is none). Names that may also stand for content (`legal`, `related`) only take an element out
+if it is short or a quarter of its text is in links. Every paragraph then passes points (one, one for each comma, one
+for each hundred characters up to three) to its parent, half as many to the next ancestor and fewer to the further
+ones, `LEVELS` in all; a container's points are discounted by the share of its text in links, and count twice for
+article and main elements. The best container (the last one in page order of equals, or the article or main element
+around it) is kept whole, with those of its siblings that score a fifth of it or are long paragraphs with few links.
 
 Defined results: null or empty pages, and pages without text, give an empty text; character references are decoded;
 white space within a block becomes one space; blocks are joined by two line feeds in page order, repeated ones too;
-markup that is cut off or badly nested ends what it must; tags without an end are dropped; other columns are kept.
+markup that is cut off or badly nested ends what it must; tags without an end are dropped; a quote without an end is
+no quote, and a tag's quotes are looked for within `TAG_CHARS` characters; a button, picture or the like without an end
+ends at the next block; pages of any length are read whole; equal pages give equal texts; an empty table gives no rows;
+other columns are kept.
 """
 
 from __future__ import annotations
@@ -30,11 +35,22 @@ VOID_BLOCKS = frozenset({"hr"})
 #: Elements left out with all that is in them.
 LEFT_OUT = frozenset("head nav header footer aside form menu dialog search noscript template fieldset".split())
 #: Elements whose content is no markup.
-RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp", "svg", "math", "select", "button", "object", "canvas", "audio", "video")}
+RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp")}
+#: Elements within lines that are left out.
+SILENT = frozenset({"svg", "select", "button", "object", "canvas", "audio", "video"})
+#: What ends no such element before it does itself.
+WHOLE = re.compile(r"</(?:article|main|body)(?=[\s/>])", re.I)
 PARAGRAPHS = frozenset("p pre td th li dt dd h1 h2 h3 h4 h5 h6 figcaption caption summary blockquote".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar tablist note".split())
 #: Words of class and id that mark what isn't main text.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar side rail comment comments commentlist respond disqus discussion replies reply menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead cookie cookies consent gdpr notice notices alert warning popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations outbrain taboola pager pagination widget widgets toolbar skip hidden copyright legal".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar comment comments commentlist respond disqus discussion replies reply menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr newsletter subscribe subscription signup login notice notices popup modal overlay lightbox outbrain taboola pager pagination toolbar".split())
+#: And those that may also stand for content.
+DOUBTFUL = frozenset("side rail foot header alert warning share sharing social related recommended recommendations widget widgets skip hidden copyright legal".split())
+#: Words that say nothing beside them.
+PLAIN = frozenset("a an and the of by on in for to box block wrapper wrap container content section area bar list links link item items inner outer top bottom left right center main primary secondary site page global web app col column row grid panel group unit slot zone space module component form field button buttons btn icon icons text title heading label body message msg policy law count more post posts article story entry blog user users reader readers thread new latest small large fixed sticky mobile desktop js css wp".split())
+#: Characters that a doubtful element has at least if it is kept, and the share of links that it doesn't reach.
+LEAST_CHARS, MOST_LINKS = 200, 0.25
+TAG_CHARS = 1 << 16
 KEPT = frozenset({"html", "body", "article", "main"})
 #: Elements that count twice as much as other containers, and are kept whole.
 MAIN = frozenset({"article", "main"})
@@ -49,37 +65,50 @@ ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
 
-def is_aside(tag: str, attributes: str) -> bool:
-    """Whether an element is left out."""
+#: An element is main text, doubtful, or left out.
+MAIN_TEXT, DOUBT, ASIDE = 0, 1, 2
+
+
+def marked(name: str) -> int:
+    """What one name of class or id marks."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not words or words[0] in ("with", "has", "no") or not all(w in MARKS or w in DOUBTFUL or w in PLAIN or w.isdigit() for w in words):
+        return MAIN_TEXT
+    return ASIDE if any(w in MARKS for w in words) else DOUBT if any(w in DOUBTFUL for w in words) else MAIN_TEXT
+
+
+def standing(tag: str, attributes: str) -> int:
+    """Whether an element is main text, doubtful or left out."""
     if tag in LEFT_OUT:
-        return True
-    if not attributes.strip(" /"):
-        return False
+        return ASIDE
+    if tag in KEPT or not attributes.strip(" /"):
+        return MAIN_TEXT
+    found = MAIN_TEXT
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return tag not in KEPT
+            return ASIDE
         if name == "role" and value.lower() in ROLES:
-            return tag not in KEPT
-        if name in ("class", "id") and tag not in KEPT:
-            found = [w.lower() for w in WORDS.findall(value)]
-            if any(w in MARKS and (not k or found[k - 1] not in ("with", "has", "no")) for k, w in enumerate(found)):
-                return True
-    return False
+            return ASIDE
+        if name in ("class", "id"):
+            found = max(found, *map(marked, value.split()), MAIN_TEXT)
+    return found
 
 
 class Page:
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.aside = ["#"], [-1], [False]
+        self.tags, self.parents, self.aside, self.doubtful = ["#"], [-1], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
         self.stack = [0]
         self.opened: Counter[str] = Counter()
         self.links: list[int] = []  # depth of the stack at which each open link began
         self.parts: list[str] = []
         self.linked = 0
+        self.silent = False  # in an element within lines that has no end
         self.read(source)
 
     def flush(self) -> None:
+        self.silent = False
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
@@ -87,7 +116,7 @@ class Page:
             self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
-        if raw and not self.aside[self.stack[-1]]:
+        if raw and not self.silent and not self.aside[self.stack[-1]]:
             if "&" in raw:
                 raw = html.unescape(raw)
             self.parts.append(raw)
@@ -109,7 +138,9 @@ class Page:
         at = self.stack[-1]
         self.tags.append(tag)
         self.parents.append(at)
-        self.aside.append(self.aside[at] or is_aside(tag, attributes))
+        stands = standing(tag, attributes)
+        self.aside.append(self.aside[at] or stands == ASIDE)
+        self.doubtful.append(stands == DOUBT)
         self.stack.append(len(self.tags) - 1)
         self.opened[tag] += 1
 
@@ -129,8 +160,19 @@ class Page:
                 self.cut(k)
                 return
 
+    def ends(self, s: str, tag: str) -> dict[int, int]:
+        """For each element of that name with an end tag: where its start tag begins and its end tag ends."""
+        found, opened = {}, []
+        for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*+>?", s, re.I):
+            if not m[1]:
+                opened.append(m.start())
+            elif opened:
+                found[opened.pop()] = m.end()
+        return found
+
     def read(self, s: str) -> None:
-        at, n, quotes = 0, len(s), True
+        at, n = 0, len(s)
+        silent: dict[str, dict[int, int]] = {}
         while at < n:
             lt = s.find("<", at)
             if lt < 0:
@@ -156,11 +198,10 @@ class Page:
                     at = lt + 1
                 continue
             tag = m[0].lower()
-            rest = REST.match(s, m.end()) if quotes else None
+            rest = REST.match(s, m.end(), m.end() + TAG_CHARS)
             if rest:
                 end = rest.end() - 1
-            else:  # a quote without an end: the first end of a tag counts, here and from here on
-                quotes = False
+            else:  # a quote without an end: the first end of a tag counts
                 end = s.find(">", m.end())
                 if end < 0:
                     break
@@ -180,6 +221,13 @@ class Page:
                         break
                     end = s.find(">", stop.end())
                     at = n if end < 0 else end + 1
+            elif tag in SILENT:
+                if tag not in silent:
+                    silent[tag] = self.ends(s, tag)
+                if (stop := silent[tag].get(lt)) and not WHOLE.search(s, at, stop):
+                    at = stop
+                elif not s.startswith("/>", end - 1):
+                    self.silent = True
             elif tag == "br":
                 self.text(" ")
             elif tag == "a":
@@ -193,21 +241,28 @@ class Page:
         if not self.blocks:
             return []
         n = len(self.tags)
-        points, chars, linked = [0.0] * n, [0] * n, [0] * n
+        points, chars, linked, out = [0.0] * n, [0] * n, [0] * n, [False] * n
         for node, text, links in self.blocks:
+            chars[node] += len(text)
+            linked[node] += links
+        for k in range(n - 1, 0, -1):  # an element stands behind its parent
+            out[k] = self.doubtful[k] and (chars[k] < LEAST_CHARS or linked[k] >= MOST_LINKS * chars[k])
+            if not out[k]:
+                chars[self.parents[k]] += chars[k]
+                linked[self.parents[k]] += linked[k]
+        for k in range(1, n):
+            out[k] = out[k] or out[self.parents[k]]
+        for node, text, _ in self.blocks:
+            if out[node]:
+                continue
             gain = 1 + text.count(",") + text.count("،") + text.count("、") + text.count("，") + min(len(text) // 100, 3)
             base = self.parents[node] if self.tags[node] in PARAGRAPHS and self.parents[node] >= 0 else node
             level = 0
             while base >= 0 and level < LEVELS:
                 points[base] += gain if not level else gain / 2 if level == 1 else gain / (3 * level)
                 base, level = self.parents[base], level + 1
-            chars[node] += len(text)
-            linked[node] += links
-        for k in range(n - 1, 0, -1):  # an element stands behind its parent
-            chars[self.parents[k]] += chars[k]
-            linked[self.parents[k]] += linked[k]
         density = [a / b if b else 0.0 for a, b in zip(linked, chars, strict=True)]
-        score = [p * (1 - d) * (2 if t in MAIN else 1) for p, d, t in zip(points, density, self.tags, strict=True)]
+        score = [0.0 if gone else p * (1 - d) * (2 if t in MAIN else 1) for p, d, t, gone in zip(points, density, self.tags, out, strict=True)]
         best = max(range(n), key=lambda k: (score[k], k))
         up = best
         while up >= 0:
@@ -215,16 +270,15 @@ class Page:
                 best = up
             up = self.parents[up]
         keep = {best}
-        if self.tags[best] not in MAIN:
-            for k in range(n):
-                if self.parents[k] == self.parents[best] and k != best and not self.aside[k]:
-                    plain = self.tags[k] == "p" and (chars[k] > 80 and density[k] < 0.25 or chars[k] and not density[k])
-                    heading = self.tags[k] in ("h1", "h2", "h3") and chars[k] and density[k] < 0.5
-                    if plain or heading or score[k] >= max(10, score[best] / 5):
-                        keep.add(k)
+        for k in range(n):
+            if self.parents[k] == self.parents[best] and k != best and not self.aside[k]:
+                plain = self.tags[k] == "p" and (chars[k] > 80 and density[k] < 0.25 or chars[k] and not density[k])
+                heading = self.tags[k] in ("h1", "h2", "h3") and chars[k] and density[k] < 0.5
+                if score[k] >= max(10, score[best] / 5) or (plain or heading) and self.tags[best] not in MAIN:
+                    keep.add(k)
         inside = [False] * n
         for k in range(n):
-            inside[k] = k in keep or self.parents[k] >= 0 and inside[self.parents[k]]
+            inside[k] = (k in keep or self.parents[k] >= 0 and inside[self.parents[k]]) and not out[k]
         return [text for node, text, _ in self.blocks if inside[node]]
 
 

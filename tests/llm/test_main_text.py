@@ -31,13 +31,32 @@ def test_page():
         ("<p>cut off &am", "cut off &am"),
         ("<p>a &lt; b < c</p>", "a < b < c"),
         ('<p title="a>b">t</p>', "t"),
+        ("<article><p>One, two.</p><button>Menu<p>Second, too.</p></article>", "One, two.\n\nSecond, too."),
+        ("<article><p>One</p><svg><text>x</text></svg> two<select><option>no</select><video>no<p>no</p></video><p>Second</p></article>", "One\n\ntwo\n\nSecond"),
+        ("<article><p>One<svg>x<p>Second</p></article><button>y</button>", "One\n\nSecond"),
+        ("<svg>" * 3 + "x" + "</svg>" * 3 + "<p>y</p>", "y"),
+        ("<p>a <math><mi>x</mi></math> b</p>", "a x b"),
+        ("<p class='a>b>one</p><p title=\"1>2\">next</p>", "b>one\n\nnext"),
+        ('<article><p class="share-price">a</p><div id="ad-hoc"><p>b</p></div><div class="ad-slot"><p>no</p></div><p class="site-footer">no</p></article>', "a\n\nb"),
+        (f'<article><p>a</p><div class="legal"><p>{"Law, " * 60}end.</p></div><div class="related"><a href="x">{"Other " * 60}</a></div><p class="share">no</p></article>', f"a\n\n{'Law, ' * 60}end."),
+        (f"<body><article><p>{'One, ' * 40}</p></article><article><p>{'two, ' * 40}</p></article></body>", f"{('One, ' * 40).strip()}\n\n{('two, ' * 40).strip()}"),
     ],
 )
 def test_cases(source, text):
     assert main_text.extract(source) == text
 
 
-@pytest.mark.parametrize("source", ["<" * 100_000, '<a "' * 50_000, "<p>" * 50_000 + "x", "<div>" * 20_000 + "</section>" * 20_000 + "x", "<ul><li>" * 20_000 + "x"])
+def test_scoring_alone_finds_the_text():
+    """No article or main element and no names: length, commas, links and the tree decide."""
+    text = "A story, told at length, with commas, and more of them, so that it counts."
+    links = "".join(f"<li><a href='/{k}'>Go, see, page {k}</a></li>" for k in range(40))
+    page = f"<body><div><ul>{links}</ul></div><div><div><h2>Title</h2><p>{text}</p><p>{text}</p><p>Sh.</p></div></div><div><p><a href='/'>All, rights, reserved, here, and there</a></p></div></body>"
+    assert main_text.extract(page) == f"Title\n\n{text}\n\n{text}\n\nSh."
+    page = f"<body><div><p>{text} {text}</p></div><div><p>{text} {text}</p></div></body>"  # siblings that score alike
+    assert main_text.extract(page) == f"{text} {text}\n\n{text} {text}"
+
+
+@pytest.mark.parametrize("source", ["<" * 100_000, '<a "' * 50_000, "<p>" * 50_000 + "x", "<div>" * 20_000 + "</section>" * 20_000 + "x", "<ul><li>" * 20_000 + "x", "<button>" * 50_000, "<svg>" * 20_000 + "</svg>" * 20_000, "<a \">\" " * 5_000 + "'", f"<p>{'long, ' * 500_000}</p>"])
 def test_long_and_broken_pages_end(source):
     assert isinstance(main_text.extract(source), str)
 
@@ -52,6 +71,7 @@ def test_query_equals_the_articles(spark, sf_dir):
         text = "\n\n".join(b for b in blocks if b)
         assert got[page["page_id"]]["text"] == text
         assert got[page["page_id"]]["n_chars"] == len(text)
+        assert main_text.extract(re.sub(r"(</?)article(?=>)", r"\1div", page["html"])) == text  # by the scoring alone
 
 
 def test_tables(spark):
