@@ -5,12 +5,13 @@ case and with one space for each run of other signs than letters and digits, is
 in blocks, so that the dictionary counts as much at the end of a long text as at its start. The choice is rejected
 where the margin to the second smallest is narrow.
 
-Learning takes, for each language, the `DOCS_PER_LANGUAGE` labelled texts with the smallest hash, each up to
-`CHARS_PER_DOC` characters: this bound is the only sample; every text is classified, and whole.
+Learning takes, for each language, the `DOCS_PER_LANGUAGE` different labelled texts with the smallest hash, whole: this
+bound on rows is the only sample; every text is classified, and whole.
 
-Defined results: a text that is null or has no letter is `und` with score 0 and rejected, and so is every text if no
-language was learned; a tie goes to the language first in order; with one language learned the score is 1; very long
-texts are compressed as one; rows with a null language teach nothing; other columns are kept as they are.
+Defined results: a text that is null or has no letter (Unicode's categories L) is `und` with score 0 and rejected, and
+so is every text if no language was learned; a tie goes to the language first in order; with one language learned the
+score is 1; very long texts are compressed as one; rows with a null language teach nothing; repeated rows teach once;
+an empty table gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -18,25 +19,32 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, free_name, held_out, table
+from .common import arrow_column, cut, free_name, held_out, table
 
-DOCS_PER_LANGUAGE, CHARS_PER_DOC, LEVEL, NARROW, BLOCK_BYTES = 64, 2048, 6, 0.01, 4096
-LETTER = re.compile(r"[^\W\d_]")
+DOCS_PER_LANGUAGE, LEVEL, NARROW, BLOCK_BYTES = 64, 6, 0.01, 4096
+LETTER = regex.compile(r"\p{L}")
 SIGNS = re.compile(r"[\W_]+")
+#: Rows of the sample that are sent to all executors at most, a language and two numbers each.
+SENT_ROWS = 100_000
 FOUND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, chars_per_doc: int = CHARS_PER_DOC) -> dict[str, bytes]:
-    """Raw dictionary content by language. What reaches the driver is bounded for each language by the parameters."""
-    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null and text rlike '[\\\\p{L}]'")
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, chars_per_doc).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    kept = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, bytes]:
+    """Raw dictionary content by language. Hashes are ranked first, so that only the sample's texts
+    move; at most `docs_per_language` texts of each language reach the driver."""
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null and text rlike '[\\\\p{L}]'")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("h")
+    kept = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
+    kept = cut(kept)
+    if kept.count() <= SENT_ROWS:
+        kept = F.broadcast(kept)
     samples: dict[str, dict[str, None]] = {}
-    for r in kept.orderBy("lang", F.desc("n")).collect():
+    for r in rows.join(kept, ["lang", "h"]).groupBy("lang", "h", "n").agg(F.min("text").alias("text")).orderBy("lang", F.desc("n")).collect():
         samples.setdefault(r["lang"], {})[plain(r["text"])] = None
     return {k: "\n".join(v).encode("utf-8", "replace") for k, v in samples.items()}
 

@@ -5,14 +5,19 @@ stay closest, in relative entropy, to one even rate and give each source its tar
 problem is smooth; its solution tilts the even rate exponentially in a document's size, min(CAP, even * exp(t * size /
 mean)), with one t for each source that Newton's steps find, kept in brackets that shrink. Sizes are first counted by
 source and size, so that each step is a small aggregation over that table; the rates are then rounded to copies by
-running sums in order of size, and the last few words are set right by one more or less copy of a fitting size.
+running sums in order of size, and the last words are set right by more or fewer copies of the best fitting sizes.
 
-Only DataFrame functions are used. The driver sees single numbers: sums, and whether the steps have converged.
+Only DataFrame functions are used. The driver sees single numbers: sums, and whether the steps have converged; if they
+haven't after `STEPS`, an error says so. What is left after
+`REPAIRS` such corrections stays.
+The table of sizes of one source meets in one task: it has a row for each different size, not for each document.
 
 Defined results: null text has size 0; a null source is a source of its own, last in order; sizes of 0 have copies
 but no words; sources that can't give more than `CAP` times their words stop there and the excess is shared again by
-weight; rows that are repeated are documents of their own; equal input gives equal copies; an empty table gives no
-rows; other columns are kept, and columns with the names of the results are replaced.
+weight; rows that are repeated are documents of their own; equal input gives equal copies, in any order of rows and
+with any number of partitions (of documents with one id, source and size the digest of the text decides, and rows that
+are equal in that too may change places); very long texts are one document of that size; an empty table gives no rows;
+other columns are kept, and columns with the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, free_name, table
 
-WEIGHTS, SHARE, CAP, CLOSE, STEPS, REPAIRS = (3, 1, 2), 1.5, 2, 1e-6, 40, 6
+WEIGHTS, SHARE, CAP, CLOSE, STEPS, REPAIRS = (3, 1, 2), 1.5, 2, 1e-6, 100, 6
+#: Groups that the documents of one source and size are dealt to.
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,8 +40,8 @@ def n_words(text: Column) -> Column:
 def ranked(rows: DataFrame, by: str, rank: str) -> DataFrame:
     """Adds the place of each row in the order of `by`, from 0: sorted ranges, and a count for each range."""
     dealt = cut(rows.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
-    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.alias("x").join(counts.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))  # a row for each partition
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+    before = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
     return dealt.withColumn(rank, place).join(F.broadcast(before), "part").withColumn(rank, F.col(rank) + F.col("before")).drop("part", "before")
 
@@ -82,6 +89,8 @@ def tilts(counts: DataFrame, goals: DataFrame, even: float = SHARE, cap: float =
         state = cut(step.select("key", "source_size", "target", "full", "mean", "tilt", "low", "high", "off"))
         if state.where("off > 0").isEmpty():
             break
+    else:
+        raise RuntimeError(f"the mix has not converged after {STEPS} steps")
     return state.select("key", "source_size", "target", "full", "mean", "tilt")
 
 
@@ -96,26 +105,26 @@ def copies_by_size(counts: DataFrame, solved: DataFrame, even: float = SHARE, ca
     for _ in range(REPAIRS):
         left = F.round(F.col("target")) - F.sum(F.col("size") * F.col("total")).over(source)
         rows = rows.withColumn("left", left)
-        more = F.when((F.col("total") < cap * F.col("n")) & (F.col("size") > 0), F.struct(F.abs(F.col("left") - F.col("size")).alias("gap"), F.col("size").alias("size"), F.lit(1).alias("sign")))
-        less = F.when((F.col("total") > 0) & (F.col("size") > 0), F.struct(F.abs(F.col("left") + F.col("size")).alias("gap"), F.col("size").alias("size"), F.lit(-1).alias("sign")))
-        rows = rows.withColumn("best", F.min(F.least(more, less)).over(source))
+        change = F.greatest(-F.col("total"), F.least(cap * F.col("n") - F.col("total"), F.floor(F.col("left") / F.col("size") + 0.5))).cast("long")
+        rows = rows.withColumn("change", F.when(F.col("size") > 0, change))
+        gap = F.abs(F.col("left") - F.col("change") * F.col("size"))
+        rows = rows.withColumn("best", F.min(F.when(F.col("change") != 0, F.struct(gap.alias("gap"), F.abs("change").alias("copies"), F.col("size").alias("size")))).over(source))
         better = (F.col("best.gap") < F.abs("left")) & (F.col("best.size") == F.col("size"))
-        rows = rows.withColumn("total", F.when(better, F.col("total") + F.col("best.sign")).otherwise(F.col("total"))).drop("left", "best")
+        rows = rows.withColumn("total", F.when(better, F.col("total") + F.col("change")).otherwise(F.col("total"))).drop("left", "change", "best")
     return rows.select("key", "size", "n", F.col("total").cast("long").alias("total"))
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, tie: Column | None = None) -> DataFrame:
     """All columns of `docs` and size, source_size, target, copies, taken (copies times size).
 
     Documents of one source and size are dealt to salted groups, so that no group grows with a source; copies are
-    shared out to the groups by count, and within a group by rank of the id's hash."""
-    names = {x: free_name(docs, x) for x in ("key", "salt", "hash")}
-    spark = docs.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key, salt, hashed = names["key"], names["salt"], names["hash"]
-    rows = docs.withColumn("size", size).drop("source_size", "target", "copies", "taken")
+    shared out to the groups by count, and within a group by rank of the id's hash, then by `tie` (the text's digest,
+    if there is a text)."""
+    key, salt, hashed, ties = (free_name(docs, x) for x in ("key", "salt", "hash", "tie"))
+    tie = F.md5("text") if tie is None and "text" in docs.columns else F.lit("") if tie is None else tie
+    rows = docs.withColumn(ties, tie).withColumn("size", size).drop("source_size", "target", "copies", "taken")
     rows = rows.withColumn(key, F.when(F.col("source").isNull(), "t").otherwise(F.concat(F.lit("s"), F.col("source").cast("string"))))
-    rows = rows.withColumn(hashed, F.xxhash64("doc_id")).withColumn(salt, F.pmod(F.col(hashed), F.lit(salts)))
+    rows = rows.withColumn(hashed, F.xxhash64("doc_id")).withColumn(salt, F.pmod(F.col(hashed), F.lit(SALTS)))
     groups = cut(rows.groupBy(F.col(key).alias("key"), "size", F.col(salt).alias("salt")).agg(F.count("*").alias("m")))
     counts = cut(groups.groupBy("key", "size").agg(F.sum("m").alias("n")))
     goals = targets(counts.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap)
@@ -127,10 +136,10 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
     shared = shared.withColumn("c", (part(F.col("until")) - part(F.col("until") - F.col("m"))).cast("long"))
     shared = shared.select(F.col("key").alias(key), "size", F.col("salt").alias(salt), F.floor(F.col("c") / F.col("m")).alias("every"), (F.col("c") % F.col("m")).alias("extra"))
     shared = shared.join(solved.select(F.col("key").alias(key), "source_size", "target"), key)
-    rank = F.row_number().over(Window.partitionBy(key, "size", salt).orderBy(hashed, "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(key, "size", salt).orderBy(hashed, "doc_id", ties))
     ranks = rows.withColumn("copies", rank)
     out = ranks.join(shared, [key, "size", salt]).withColumn("copies", F.col("every") + (F.col("copies") <= F.col("extra")).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(key, salt, hashed, "every", "extra")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(key, salt, hashed, ties, "every", "extra")
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -140,6 +149,6 @@ def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    out = mix(cut(docs), F.col("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5("text").alias("digest"))
+    out = mix(cut(docs), F.col("size"), tie=F.col("digest"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -13,8 +13,8 @@ def sentence(lang, rnd, n=40):
 def test_learns_within_its_bound_and_classifies(spark):
     rnd = random.Random(2)
     docs = spark.createDataFrame([(k, sentence(lang := rnd.choice(["aa", "oo"]), rnd), lang) for k in range(300)] + [(900, "zzz", None), (901, None, "aa"), (902, "123", "digits")], "doc_id bigint, text string, lang string")
-    contents = cl.learn(docs, docs_per_language=20, chars_per_doc=100)
-    assert sorted(contents) == ["aa", "oo"] and all(len(v) <= 20 * 101 for v in contents.values())
+    contents = cl.learn(docs, docs_per_language=20)
+    assert sorted(contents) == ["aa", "oo"] and all(v.count(b"\n") == 19 for v in contents.values())
     rows = cl.identify(docs, contents, found="lang2").collect()
     assert sum(r["lang2"]["lang"] == r["lang"] for r in rows if r["doc_id"] < 300) > 294
     by_id = {r["doc_id"]: r["lang2"] for r in rows}
@@ -22,6 +22,23 @@ def test_learns_within_its_bound_and_classifies(spark):
     assert all(0 <= r["lang2"]["score"] <= 1 for r in rows)
 
 
+def test_copies_teach_once(spark):
+    rnd = random.Random(4)
+    texts = [sentence("aa", rnd) for _ in range(20)]
+    learned = lambda rows: cl.learn(spark.createDataFrame([(t, "aa") for t in rows], "text string, lang string"), docs_per_language=8)["aa"]
+    assert learned(texts) == learned(texts + texts[:1] * 100 + texts[5:6] * 50) and learned(texts).count(b"\n") == 7
+
+
+def test_letters_are_those_of_unicode(spark):
+    contents = {"aa": b"ana bana kana", "oo": b"ono bono kono"}
+    for text in ("½", "²①", "Ⅷ", "½ ² ① Ⅷ 7", "५", "_", "\u0301"):
+        assert cl.classify(text, contents)[0] == "und"
+    for text in ("ª", "é", "中", "½x"):
+        assert cl.classify(text, contents)[0] != "und"
+    docs = spark.createDataFrame([("Ⅷ ½ ²", "no"), ("中", "yes")], "text string, lang string")
+    assert list(cl.learn(docs)) == ["yes"]
+
+
 def test_odd_texts():
     contents = {"aa": b"ana bana kana", "oo": b"ono bono kono"}
     assert cl.classify(None, contents)[0] == cl.classify("", contents)[0] == cl.classify(" 1,2! ", contents)[0] == "und"

@@ -63,6 +63,33 @@ def test_nulls_empty_and_repeated_rows(spark):
     assert all(r["taken"] == 0 for r in mixed(spark, [(1, "a", "", "", "")]).collect())
 
 
+def test_neither_partitions_nor_the_order_of_rows_change_the_copies(spark):
+    docs = [(k // 3, "ab"[k % 2], f"{'w ' * (k % 5)}{k}", "", "") for k in range(600)]  # ids of three documents each
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for parts, rows in ((4, docs), (11, docs), (3, docs[::-1])):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(sorted((r["text"], r["copies"]) for r in mixed(spark, rows).collect()))
+        assert found[0] == found[1] == found[2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_very_long_texts(spark):
+    docs = [(k, "ab"[k % 2], "w " * n, "", "") for k, n in enumerate([400_000, 300_000, *[50] * 4000])]
+    rows = mixed(spark, docs).collect()
+    for s in "ab":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 50 and max(r["copies"] for r in own) <= 2
+
+
+def test_an_error_tells_that_the_steps_end(spark, monkeypatch):
+    monkeypatch.setattr(entropy_mix, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="converged"):
+        mixed(spark, [(k, "abc"[k % 3], "w " * (k % 17 + 1), "", "") for k in range(300)])
+
+
 def test_query(spark, sf_dir):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = entropy_mix.query(spark, sf_dir).collect()
