@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,39 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+U = np.uint64
+MULTIPLIER = 0x9E3779B97F4A7C15
+#: Bytes whose hashes are summed up at once.
+PIECE = 1 << 16
+
+
+def _powers(base: int) -> np.ndarray:
+    x = np.full(PIECE + 1, base, U)
+    x[0] = 1
+    return np.cumprod(x, dtype=U)
+
+
+UP, DOWN = _powers(MULTIPLIER), _powers(pow(MULTIPLIER, -1, 1 << 64))
+
+
+def span_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes b[start:stop], both rising: equal bytes have equal hashes wherever they stand. The sums are
+    made piece by piece, so that beside the hashes little memory is taken."""
+    low, high, shift = (np.zeros(len(start), U) for _ in range(3))
+    base, scale, back = np.zeros(1, U), np.ones(1, U), np.ones(1, U)
+    for at in range(0, len(b) + 1, PIECE):
+        piece = b[at : at + PIECE]
+        total = np.zeros(len(piece) + 1, U)
+        np.cumsum((piece.astype(U) + U(1)) * UP[: len(piece)], out=total[1:])
+        total = base + scale * total
+        i, j = np.searchsorted(start, (at, at + PIECE))
+        low[i:j], shift[i:j] = total[start[i:j] - at], back * DOWN[start[i:j] - at]
+        i, j = np.searchsorted(stop, (at, at + PIECE))
+        high[i:j] = total[stop[i:j] - at]
+        base, scale, back = total[-1:], scale * UP[PIECE], back * DOWN[PIECE]
+    return (high - low) * shift
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,10 +74,13 @@ def arrow_column(rows: Callable[[list[str]], pa.Array], returns: str) -> Callabl
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a new local folder only where it isn't set."""
+    """spark.checkpoint.dir, which driver and executors share; a new local folder where it isn't set and all is local."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return context.getCheckpointDir()
 
 

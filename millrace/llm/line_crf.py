@@ -7,12 +7,14 @@ lines gives its score.
 
 Learning: documents carry labels, lines don't. A line first takes its document's label; after a first fit, lines of
 bad documents that look good on their own become good, and the field is fitted again. The fit is on a sample of at
-most `DOCS_PER_LABEL` labelled documents of each label, those with the smallest hashes of their ids, and of at most
-`LINES_PER_DOC` lines each; nothing else is sampled, and every line of every text is scored.
+most `DOCS_PER_LABEL` labelled documents of each label, those with the smallest hashes of their ids, with all their
+lines; nothing else is sampled, and every line of every text is scored.
 
 Defined results: a text that is null or empty has one empty line and a score like any other; lines of no length weigh
-nothing unless all are; very long texts and lines are scored whole; equal texts have equal scores; without labels of
-both kinds every score is the share of good ones (1 without labels); other columns are kept as they are.
+nothing unless all are; very long texts and lines are scored whole; equal texts have equal scores, so repeated rows and
+ids have; of several texts of one id that with the least digest teaches, and of ids with equal hashes the least come
+first; without labels of both kinds every score is the share of good ones (1 without labels); an empty table gives no
+rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -22,19 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, held_out, table
+from .common import arrow_column, held_out, span_hashes, table
 
-DOCS_PER_LABEL, LINES_PER_DOC, THRESHOLD = 2500, 200, 0.7
-U = np.uint64
-MULTIPLIER = 0x9E3779B97F4A7C15
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+DOCS_PER_LABEL, THRESHOLD = 2500, 0.7
 
 #: Classes of bytes.
 UPPER, LOWER, DIGIT, BLANK, SIGN, PIPE, BANG, POINT, HIGH, OTHER, N_CLASSES = range(11)
-CLASS = np.full(256, OTHER, np.int64)
+CLASS = np.full(256, OTHER, np.uint8)
 CLASS[128:] = HIGH
 for _chars, _kind in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER), (b"abcdefghijklmnopqrstuvwxyz", LOWER), (b"0123456789", DIGIT), (b" \t\r\n\x0b\x0c", BLANK), (b"#$%&*@^~<>{}[]\\=+_`/", SIGN), (b"|", PIPE), (b"!", BANG), (b".,;:?", POINT)):
     CLASS[list(_chars)] = _kind
@@ -58,12 +57,6 @@ BINS, PLACES = 7, 3  # the last bin stands for a line that isn't there
 N_FEATURES = len(EDGES)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, MULTIPLIER, U), np.full(n, INVERSE, U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
-
-
 def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all lines of all texts: the bins of their features, their lengths in bytes, and each text's first line."""
     raw = [t.encode("utf-8", "replace") for t in texts]
@@ -77,22 +70,20 @@ def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins = np.concatenate([[0], ends[:-1] + 1])
     length = ends - begins
     kinds = CLASS[b]
-    line = np.repeat(np.arange(n), length + 1)
-    count = np.bincount(line * N_CLASSES + kinds, minlength=n * N_CLASSES).reshape(n, N_CLASSES)
+    count = np.stack([np.add.reduceat(kinds == c, begins, dtype=np.int64) for c in range(N_CLASSES)], axis=1)
     count[:, BLANK] -= 1  # the line's end
     blank = kinds == BLANK
     start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     stop = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
-    up, down = powers(len(b) + 1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * up[:-1], dtype=U)])
-    word = (total[stop] - total[start]) * down[start]
-    of = line[start]
+    del blank
+    word = span_hashes(b, start, stop)
+    of = np.searchsorted(begins, start, side="right") - 1
     words = np.bincount(of, minlength=n)
     again = np.zeros((2, n), np.int64)
     for lag in (1, 2):
         same = (word[lag:] == word[:-lag]) & (of[lag:] == of[:-lag])
         again[lag - 1] = np.bincount(of[lag:][same], minlength=n)
-    whole = (total[ends] - total[begins]) * down[begins]
+    whole = span_hashes(b, begins, ends)
     doc = np.repeat(np.arange(len(raw)), np.diff(first))
     order = np.lexsort((whole, doc))
     new = np.ones(n, bool)
@@ -216,7 +207,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [x or "" for x in batch.column("text").to_pylist()]
         bins, length, first = described(texts)
-        keep = [slice(first[k], min(first[k + 1], first[k] + LINES_PER_DOC)) for k in range(len(texts))]
+        keep = [slice(first[k], first[k + 1]) for k in range(len(texts))]
         columns = [batch.column("h"), batch.column("good"), pa.array([bins[s].tobytes() for s in keep], pa.binary()), pa.array([length[s].tolist() for s in keep], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["h", "good", "bins", "length"])
 
@@ -228,10 +219,12 @@ def learn(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LAB
     marked = marked.withColumn("h", F.xxhash64("doc_id"))
     counts = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 1.0
-    order = Window.partitionBy("good").orderBy("h", "doc_id")
-    chosen = marked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_label).select("doc_id", "good", "h")
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # two rows of numbers for each sampled one
-    rows = texts.select("h", "good", "text").mapInArrow(_sampled, "h bigint, good int, bins binary, length array<bigint>").orderBy("h", "bins").limit(4 * docs_per_label).collect()
+    first = [marked.where(F.col("good") == good).orderBy("h", "doc_id").limit(docs_per_label) for good in (0, 1)]
+    chosen = first[0].unionByName(first[1])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # three numbers for each sampled one
+    texts = texts.groupBy("doc_id", "good", "h").agg(F.min_by("text", F.md5("text")).alias("text"))
+    rows = texts.select("h", "good", "text").mapInArrow(_sampled, "h bigint, good int, bins binary, length array<bigint>").collect()
+    rows.sort(key=lambda r: (r["h"], bytes(r["bins"])))
     y = np.array([r["good"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(N_WEIGHTS), 0.0, np.zeros((2, 2)), None, prior)

@@ -28,16 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, cut, free_name, slices, table
+from .common import MULTIPLIER, U, arrow_column, cut, free_name, slices, span_hashes, table
 
 K, SAMPLED, BANDS, SIMILARITY = 5, 2, 32, 0.8
 #: Texts and words of a chunk, about; a block has one or two chunks, and one text more if that is longer.
 CHUNK, CHUNK_WORDS = 512, 500_000
 #: Counters of words for the bound, and bits of a text's places that are aligned at once.
 COUNTERS, PLACES = 1024, 1024
-U = np.uint64
-MULTIPLIER = 0x9E3779B97F4A7C15
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 SEEDS = np.array([(0xA0761D6478BD642F * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF for k in range(BANDS)], U)
 #: Bytes that belong to a word: ASCII letters and digits, and all parts of other characters.
 IN_WORD = np.zeros(256, bool)
@@ -51,18 +48,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> U(31)
 
 
-_powers: list[np.ndarray] = [np.zeros(0, U), np.zeros(0, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((MULTIPLIER, INVERSE)):
-            x = np.full(n, base, U)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=U)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin."""
     raw = [t.lower().encode("utf-8", "replace") for t in texts]
@@ -71,10 +56,8 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = IN_WORD[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).astype(np.int8)))
     start, stop = edge[::2], edge[1::2]  # a line feed ends the last text
-    up, down = powers(len(b) + 1)
-    total = np.concatenate([np.zeros(1, U), np.cumsum((b.astype(U) + U(1)) * up[: len(b)], dtype=U)])
     begin = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
-    return mix((total[stop] - total[start]) * down[start]), begin
+    return mix(span_hashes(b, start, stop)), begin
 
 
 def kmers(w: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +96,7 @@ def sketch(labels: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     out = []
-    for seeds in np.array_split(SEEDS, min(BANDS, 1 + BANDS * n // 2_000_000)):
+    for seeds in np.array_split(SEEDS, min(BANDS, 1 + BANDS * n // 250_000)):
         h = (labels[None] ^ seeds[:, None]) * U(0xBF58476D1CE4E5B9)
         h ^= h >> U(31)
         h *= U(0x94D049BB133111EB)
