@@ -90,6 +90,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of `df`, whatever signs their names have."""
+    return [F.col(f"`{name.replace('`', '``')}`") for name in df.columns]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores in front until no column of `df` has it (case aside)."""
     taken = {c.lower() for c in df.columns}

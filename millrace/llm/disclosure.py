@@ -1,22 +1,23 @@
 """Personal data, and terms that disclose it, by information-theoretic sanitisation.
 
 Protected entities are e-mail addresses, IP addresses, payment cards and telephone numbers, found by pattern and check
-sum. Terms that stand near an entity, in one line and within `REACH` characters, are counted over the corpus: the
-pointwise mutual information of entity and term, by the entity's own information, is the share of the entity that
-the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT` different contexts are
-generalised from a share of `GENERALISE` on and removed from `REMOVE` on, wherever they stand in a text that has the
-entity.
+sum. What is protected is the value itself, its class (the domain, the first half of an IP address, the first six
+digits of a card, the first four of a telephone number) and its kind. Entities and terms are counted over the corpus by
+passage, which is a line, or a piece of up to `PASSAGE` characters of a longer one; equal passages count once, so that
+copies change nothing. The pointwise mutual information of entity and term, by the entity's own information, is the
+share of the entity that the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT`
+passages are generalised from a share of `GENERALISE` on and removed from `REMOVE` on, wherever they stand in a text
+that has the value, class or kind. Terms have `SHORTEST` characters at least.
 
-Only DataFrame functions are used. A text is known by its digest, so equal texts get equal spans; all counts are of
-different texts, so copies change nothing.
+Only DataFrame functions are used. One aggregation counts passages, terms, entities and their pairs.
 
 The patterns are written so that a search never starts twice in one run of characters: a match begins where the run
 begins or where the last match ended, which finds the same as trying each place.
 
 Defined results: null counts as empty; texts of any length are searched whole; matches of one kind don't overlap, of
-different kinds they may, and both are kept; overlapping spans are replaced as one; an entity that all texts have has
-no information, so no term discloses it; without entities or repeated contexts no terms are added; an empty table gives
-no rows; other columns are kept.
+different kinds they may, and both are kept; overlapping spans are replaced as one; an entity that all passages have has
+no information, so no term discloses it; without entities or repeated passages no terms are added; equal texts, and so
+repeated rows and ids, get equal spans; there is nothing to tie; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import columns, cut, free_name, table
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -39,11 +40,9 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){15}", "phone": r"\+[0-9][ ().0-9-]{5}"}
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 WORD = r"[\p{L}\p{N}]+"
-REACH, SUPPORT, GENERALISE, REMOVE, SHORTEST = 64, 3, 0.5, 0.8, 3
-#: Texts whose added spans are sent to all executors at most; more are joined by shuffle.
-SENT_TEXTS = 20_000
-#: And their spans.
-SENT_SPANS = 200_000
+PASSAGE, SUPPORT, GENERALISE, REMOVE, SHORTEST = 1000, 3, 0.5, 0.8, 3
+#: Bytes that are sent to all executors at most; more are joined by shuffle.
+SENT_BYTES = 4 << 20
 
 
 def placed(text: Column, pattern: str, kind: str) -> Column:
@@ -92,74 +91,72 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(F.when(text.rlike(HINTS[k]), F.filter(placed(text, PATTERNS[k], k), checked(k))).otherwise(none) for k in KINDS))
 
 
-def entity(span: Column) -> Column:
-    """What an entity is counted by: its kind and plain value."""
-    value = F.when(span["kind"].isin("card", "phone"), digits(span["value"])).otherwise(F.lower(span["value"]))
-    return F.concat(span["kind"], F.lit(":"), value)
+def entities(spans: Column) -> Column:
+    """What spans are counted by: array<string> of their values, classes and kinds."""
 
+    def of(span: Column) -> Column:
+        kind, value = span["kind"], F.when(span["kind"].isin("card", "phone"), digits(span["value"])).otherwise(F.lower(span["value"]))
+        wide = F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2)).when(kind == "card", F.substring(value, 1, 6)).otherwise(F.substring(value, 1, 4))
+        return F.array(F.concat(kind, F.lit(":"), value), F.concat(kind, F.lit("~"), wide), kind)
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """Rows of (digest, entity, context, term, start, end) from rows of (digest, text, spans)."""
-    one = found.select("digest", "text", "spans", F.explode("spans").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = F.substr(F.col("text"), F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    right = F.substr(F.col("text"), end + 1, F.lit(REACH))
-    one = one.withColumn("left", F.regexp_extract(left, r"[^\n]*$", 0)).withColumn("right", F.regexp_extract(right, r"^[^\n]*", 0))
-    # A word that the reach cuts is no term.
-    one = one.withColumn("cut", (F.char_length("left") == REACH) & F.substr(F.col("text"), start - REACH, F.lit(1)).rlike(WORD) & (start > REACH))
-    one = one.withColumn("right", F.when(F.char_length("right") == REACH, F.regexp_replace("right", WORD + "$", "")).otherwise(F.col("right")))
-    before = F.when(F.col("cut"), F.filter(placed(F.col("left"), WORD, "term"), lambda w: w["start"] > 0)).otherwise(placed(F.col("left"), WORD, "term"))
-    shift = lambda words, by: F.transform(words, lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + by).alias("start"), (w["end"] + by).alias("end")))
-    words = F.concat(shift(before, start - F.char_length("left")), shift(placed(F.col("right"), WORD, "term"), end))
-    rows = one.select("digest", "spans", entity(F.col("s")).alias("entity"), F.xxhash64("left", "right").alias("context"), F.explode(words).alias("w"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return rows.where(free & (F.char_length("w.term") >= SHORTEST)).select("digest", "entity", "context", "w.*")
+    return F.array_distinct(F.flatten(F.transform(spans, of)))
+
+
+def replaced(text: Column, marks: Column) -> Column:
+    """The text with marks, array<struct<start, end, by>> in order, put in place; overlapping ones are replaced as one."""
+    step = lambda acc, m: F.when(m["end"] <= acc["at"], acc).otherwise(F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(m["start"] - acc["at"], F.lit(0)).cast("int")), F.when(m["start"] >= acc["at"], m["by"]).otherwise("")).alias("out")))
+    return F.aggregate(marks, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+
+
+def terms(text: Column, spans: Column) -> Column:
+    """The words of a text outside its spans, each once, in lower case."""
+    marks = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(" ").alias("by"))))
+    free = F.when(F.size(spans) > 0, replaced(text, marks)).otherwise(text)
+    return F.array_distinct(F.transform(F.filter(F.split(free, r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= SHORTEST), F.lower))
 
 
 def digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def disclosing(docs: DataFrame) -> DataFrame:
-    """Rows of (entity, term, share): terms that disclose an entity. docs: text."""
-    found = _found(docs)
-    return _disclosing(docs, _holders(found), cut(near_terms(found)))
+def passages(docs: DataFrame) -> DataFrame:
+    """Rows of (passage), each once: pieces of a long line end at white space if they can."""
+    piece = rf"[^\n]{{1,{PASSAGE}}}(?!\S)|[^\n]{{1,{PASSAGE}}}"
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(piece), F.lit(0))).alias("passage")).distinct()
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """Rows of (digest, text), each text once; null is empty."""
-    return docs.select(digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["digest"])
+def counted(docs: DataFrame) -> DataFrame:
+    """Rows of (entity, term, n): the passages that have both, with a null for any; nulls for both: all passages."""
+    rows = passages(docs).withColumn("spans", base_spans(F.col("passage")))
+    any_of = lambda x: F.concat(F.array(F.lit(None).cast("string")), x)
+    rows = rows.select(any_of(entities(F.col("spans"))).alias("entities"), any_of(terms(F.col("passage"), F.col("spans"))).alias("terms"))
+    return rows.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n"))
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """Rows of (digest, text, spans): each text with entities once."""
-    return cut(_texts(docs.where(F.size(base_spans(F.col("text"))) > 0)).withColumn("spans", base_spans(F.col("text"))))
-
-
-def _holders(found: DataFrame) -> DataFrame:
-    """Rows of (digest, entity): the entities of each text."""
-    return found.select("digest", F.explode("spans").alias("s")).select("digest", entity(F.col("s")).alias("entity")).distinct()
-
-
-def _disclosing(docs: DataFrame, holders: DataFrame, terms: DataFrame) -> DataFrame:
-    """Counts are of different texts. The words of each are summed up where it is, before any word is moved or looked
-    up; distinct counts go in two steps, so that a common entity's rows shrink where they are."""
-    pairs = terms.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= SUPPORT)
-    repeated = cut(terms.select("entity", "term", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_pair")).join(pairs, ["entity", "term"]))
-    none = repeated.select("entity", "term", F.lit(0.0).alias("share")).where("false")
-    if repeated.isEmpty():
-        return none
-    total = docs.select(digest(F.col("text")).alias("digest")).distinct().count()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    by_term = _texts(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    by_entity = holders.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    rows = repeated.join(by_entity.where(F.col("n_entity") < total), "entity").join(by_term, "term")
-    own = F.log(F.lit(float(total)) / F.col("n_entity"))
+def disclosing(docs: DataFrame) -> DataFrame:
+    """Rows of (entity, term, share): terms that disclose an entity. docs: text."""
+    counts = cut(counted(docs.select("text")).where(F.col("entity").isNull() | F.col("term").isNull() | (F.col("n") >= SUPPORT)))
+    total = counts.where("entity is null and term is null").select("n").first()
+    total = float(total[0] if total else 0)
+    by_term = counts.where("entity is null and term is not null").select("term", F.col("n").alias("n_term"))
+    by_entity = counts.where("term is null and entity is not null").select("entity", F.col("n").alias("n_entity")).where(F.col("n_entity") < total)
+    rows = counts.where("entity is not null and term is not null").join(by_entity, "entity").join(by_term, "term")
     # Where n_entity is total, this is not asked for.
-    share = F.when(F.col("n_entity") < total, F.log(F.lit(float(total)) * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / own)
+    share = F.when(F.col("n_entity") < total, F.log(F.lit(total) * F.col("n") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(total) / F.col("n_entity")))
     return cut(rows.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
 
+def _found(docs: DataFrame) -> DataFrame:
+    """Rows of (digest, text, spans): each text with entities once."""
+    rows = docs.where(F.size(base_spans(F.col("text"))) > 0).select(digest(F.col("text")).alias("digest"), "text").dropDuplicates(["digest"])
+    return cut(rows.withColumn("spans", base_spans(F.col("text"))))
+
+
+def _sent(rows: DataFrame, n_bytes: Column) -> DataFrame:
+    """`rows` to be broadcast, if they are few enough; n_bytes: of a row."""
+    return F.broadcast(rows) if (rows.agg(F.sum(n_bytes + 48)).first()[0] or 0) <= SENT_BYTES else rows
+
+
 def _words(texts: DataFrame) -> DataFrame:
     """Rows of (digest, term, start, end): all words of rows of (digest, text), in texts of any length."""
     pairs = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("value"))
@@ -169,23 +166,19 @@ def _words(texts: DataFrame) -> DataFrame:
     return rows.where(F.col("value").isNotNull()).select("digest", F.lower("value").alias("term"), (F.col("end") - length).alias("start"), "end")
 
 
-def _marked(found: DataFrame, holders: DataFrame, chosen: DataFrame) -> DataFrame:
+def _marked(found: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of (digest, term, share): the terms of each text that disclose one of its entities. Entities and terms
     meet within a text only, so that an entity of many texts doesn't meet all its terms in each."""
-    if chosen.count() <= SENT_TEXTS:
-        chosen = F.broadcast(chosen)
-    held = holders.join(chosen.select("entity").distinct(), "entity", "left_semi")
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
-    said = found.join(held.select("digest").distinct(), "digest", "left_semi").select("digest", F.explode(words).alias("term"))
-    said = said.join(chosen.select("term").distinct(), "term", "left_semi")
+    chosen = _sent(chosen, F.octet_length("entity") + F.octet_length("term"))
+    held = found.select("digest", F.explode(entities(F.col("spans"))).alias("entity")).join(chosen.select("entity").distinct(), "entity", "left_semi")
+    said = found.select("digest", F.explode(terms(F.col("text"), F.col("spans"))).alias("term")).join(chosen.select("term").distinct(), "term", "left_semi")
     return cut(said.join(held, "digest").join(chosen, ["entity", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share")))
 
 
 def added_spans(docs: DataFrame) -> DataFrame:
     """Rows of (digest, added): for each text with disclosing terms, array<struct<start, end, term, share>>."""
     found = _found(docs)
-    holders = _holders(found)
-    marked = _marked(found, holders, _disclosing(docs, holders, cut(near_terms(found))))
+    marked = _marked(found, disclosing(docs))
     texts = found.join(marked.select("digest").distinct(), "digest", "left_semi")
     chosen = _words(texts).join(marked, ["digest", "term"]).join(texts.select("digest", "spans"), "digest")
     chosen = chosen.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
@@ -200,9 +193,7 @@ def with_spans(docs: DataFrame, spans: str = "spans", added: str = "added") -> D
     more = added_spans(docs.select("text"))
     key = free_name(docs, "text_digest")
     more = more.select(F.col("digest").alias(key), F.col("added").alias(added))
-    n_texts, n_spans = more.agg(F.count("*"), F.coalesce(F.sum(F.size(added)), F.lit(0))).first()
-    if n_texts <= SENT_TEXTS and n_spans <= SENT_SPANS:
-        more = F.broadcast(more)
+    more = _sent(more, F.aggregate(F.col(added), F.lit(0), lambda n, t: n + F.octet_length(t["term"]) + 40))
     rows = docs.drop(spans, added).withColumn(key, digest(F.col("text"))).join(more, key, "left").drop(key)
     return rows.withColumn(added, F.coalesce(F.col(added), F.array().cast(ADDED))).withColumn(spans, base_spans(F.col("text")))
 
@@ -211,8 +202,7 @@ def sanitised(text: Column, spans: Column, added: Column) -> Column:
     """The text with entities replaced by their kinds and terms generalised to what they are, or removed."""
     term = lambda t: F.when(t["share"] >= REMOVE, "").when(t["term"].rlike(r"^\p{N}+$"), "[NUMBER]").otherwise("[TERM]")
     marks = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by"))), F.transform(added, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), term(t).alias("by"))))
-    step = lambda acc, m: F.when(m["end"] <= acc["at"], acc).otherwise(F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(m["start"] - acc["at"], F.lit(0)).cast("int")), F.when(m["start"] >= acc["at"], m["by"]).otherwise("")).alias("out")))
-    made = F.aggregate(F.array_sort(marks), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    made = replaced(text, F.array_sort(marks))
     return F.when(F.size(spans) + F.size(added) > 0, made).otherwise(text)
 
 
@@ -220,7 +210,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with sanitised texts; nulls stay null."""
     s, a = free_name(docs, "spans"), free_name(docs, "added")
     rows = with_spans(docs, s, a)
-    return rows.withColumn("text", sanitised(F.col("text"), F.col(s), F.col(a))).select(*docs.columns)
+    return rows.withColumn("text", sanitised(F.col("text"), F.col(s), F.col(a))).select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

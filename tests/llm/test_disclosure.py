@@ -1,8 +1,10 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pytest
+import regex
 
 from millrace.llm import disclosure
 
@@ -93,25 +95,69 @@ def test_a_disclosing_term_is_marked_wherever_it_stands(spark):
     far = "😀 " + "filler " * 20
     near = [f"zorblat {w} jane@corp.example {far}Zorblat\nand ZORBLAT zorblat@corp.example" for w in ("one", "two", "three")]
     apart = f"jane@corp.example\n{far}\nzorblat"
-    other = "zorblat joe@corp.example"
-    docs = spark.createDataFrame([(t,) for t in [*near, apart, other] + [f"filler and one two three {k}" for k in range(40)]], "text string")
+    same = "zorblat joe@corp.example"  # another address of the domain that the term discloses
+    other = "zorblat 10.1.2.3"
+    docs = spark.createDataFrame([(t,) for t in [*near, apart, same, other] + [f"filler and one two three {k}" for k in range(40)]], "text string")
     rows = {r["text"]: r["added"] for r in disclosure.with_spans(docs).collect()}
     for text in (*near, apart):
         got = [(a["start"], a["end"]) for a in rows[text] if a["term"] == "zorblat"]
         assert got == [m.span() for m in re.finditer("zorblat(?!@)", text, re.I)]
-    assert not rows[other]  # it has another entity
+    assert [a["term"] for a in rows[same]] == ["zorblat"]
+    assert not rows[other]  # it has an entity of another kind
 
 
 def test_an_entity_of_all_texts_has_no_information(spark):
     assert not any(added(spark, [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]).values())
 
 
-def test_texts_with_an_entity_alone_count(spark):
+def test_passages_with_an_entity_alone_count(spark):
     near = [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]
-    alone = [f"jane@corp.example\n{k} {k}" for k in range(10, 16)]
-    # n_pair 3 of n_entity 9, n_term 3 + 1, total 20: log(20 * 3 / (9 * 4)) / log(20 / 9).
+    alone = [f"jane@corp.example {k}\n{k} {k}" for k in range(10, 16)]
+    # Passages: 3 near, 12 of those alone, 11 plain. n_pair 3 of n_entity 9, n_term 3 + 1, total 26.
     plain = ["zorblat"] + [f"plain {k}" for k in range(10)]
-    assert added(spark, near + alone + plain)[near[0]] == [("zorblat", round(math.log(60 / 36) / math.log(20 / 9), 9))]
+    assert added(spark, near + alone + plain)[near[0]] == [("zorblat", round(math.log(26 * 3 / 36) / math.log(26 / 9), 9))]
+
+
+def expected(texts):
+    """Disclosing terms by plain counting: (entity, term) to share."""
+    units = {m[0] for t in texts for m in re.finditer(rf"[^\n]{{1,{disclosure.PASSAGE}}}(?!\S)|[^\n]{{1,{disclosure.PASSAGE}}}", t)}
+    n_term, n_entity, n_pair = Counter(), Counter(), Counter()
+    for unit in units:
+        spans, keys, free = brute(unit), set(), list(unit)
+        for kind, a, b in spans:
+            value = unit[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", unit[a:b])
+            wide = {"email": value.split("@")[-1], "ip": ".".join(value.split(".")[:2]), "card": value[:6], "phone": value[:4]}[kind]
+            keys |= {f"{kind}:{value}", f"{kind}~{wide}", kind}
+            free[a:b] = " " * (b - a)
+        words = {w.lower() for w in regex.findall(r"[\p{L}\p{N}]+", "".join(free)) if len(w) >= disclosure.SHORTEST}
+        n_term.update(words)
+        n_entity.update(keys)
+        n_pair.update((k, w) for k in keys for w in words)
+    n, out = len(units), {}
+    for (k, w), m in n_pair.items():
+        if m >= disclosure.SUPPORT and n_entity[k] < n and (share := math.log(n * m / (n_entity[k] * n_term[w])) / math.log(n / n_entity[k])) >= disclosure.GENERALISE:
+            out[k, w] = round(share, 9)
+    return out
+
+
+def test_shares_equal_plain_counting_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text")
+    got = {(r["entity"], r["term"]): round(r["share"], 9) for r in disclosure.disclosing(docs).collect()}
+    assert got == expected([r["text"] for r in docs.collect() if r["text"]]) and got
+
+
+def test_long_lines_are_counted_in_pieces_and_searched_whole(spark):
+    long = "filler " * 60_000 + "zorblat one jane@corp.example " + "filler " * 60_000 + "zorblat"
+    texts = [long, "zorblat two jane@corp.example", "zorblat three jane@corp.example", *(f"plain {k}" for k in range(30))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    row = next(r for r in disclosure.with_spans(docs).collect() if r["text"] == long)
+    assert [(a["start"], a["end"]) for a in row["added"]] == [m.span() for m in re.finditer("zorblat", long)]
+    assert max(len(r["passage"]) for r in disclosure.passages(docs).collect()) <= disclosure.PASSAGE
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a jane@corp.example", "p", "q", None)], "doc_id bigint, text string, `a.b` string, text_digest string, added string")
+    assert disclosure.sanitise(docs).collect() == [(1, "a [EMAIL]", "p", "q", None)]
 
 
 def test_sanitised_text_and_overlaps(spark):
