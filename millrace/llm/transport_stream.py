@@ -1,22 +1,25 @@
 """Media columns of MPEG transport streams: a muxer that stores bytes, and a reader.
 
-The reader follows the public layout of 188-byte packets: it parses the program association and map tables (with
-their checksums), checks the continuity counter of each elementary stream, reassembles its elementary packets over
-the payloads, and stores the timestamp, the place and the random-access mark of each access unit.
+The reader follows the public layout of 188-byte packets: it puts together the sections of the program association and
+map tables over all their packets and keeps those whose checksums are right, checks the continuity counter of each
+elementary stream of each program, reassembles its elementary packets over the payloads, and stores the timestamp, the
+place and the random-access mark of each access unit.
 
 Defined results: null text counts as empty and gives one block of padding; a stream that isn't one (null, empty,
-wrong length, lost sync, no program) has a null payload and a reason in `error`; a lost, repeated or reordered
-packet shows in `continuity_errors` or `duplicates`; equal texts give equal streams; other columns are kept.
+wrong length, lost sync, no program, no elementary stream) has a null payload and a reason in `error`; of several sound
+map tables of a program the first counts; a lost, repeated or reordered packet shows in `continuity_errors` or
+`duplicates`; very long texts are one stream, whole; equal texts, and so repeated rows and ids, give equal streams; an
+empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_column, slices, table
@@ -106,35 +109,62 @@ def mux(payload: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray) -> Iterator[bytes]:
-    """Sound sections that begin and end within a packet of one table."""
+    """Sound sections of one table, each over as many packets as it has."""
+    part, last = None, b""
     for p in packets:
         raw = p.tobytes()
         at = 4 + (1 + raw[4] if raw[3] & 0x20 else 0)
-        if not raw[1] & 0x40 or at >= PACKET:
+        if not raw[3] & 0x10 or at >= PACKET or raw == last:
             continue
-        at += 1 + raw[at]
-        section = raw[at : at + 3 + ((raw[at + 1] & 0x0F) << 8 | raw[at + 2])] if at + 3 <= PACKET else b""
-        if len(section) >= 12 and checksum(section) == 0:
-            yield section
-
-
-def demux(stream: bytes | None) -> dict:
-    """The first elementary stream of the first program."""
+        if last and (raw[3] - last[3]) & 0x0F != 1:
+            part = None
+        last = raw
+        if raw[1] & 0x40:  # a section begins behind the end of the one before
+            end = at + 1 + raw[at]
+            whole = [(part or b"") + raw[at + 1 : end] if part is not None else b"", raw[end:]]
+        else:
+            whole = [part + raw[at:] if part is not None else b""]
+        for part in whole:
+            while len(part) >= 3 and part[0] != 0xFF and len(part) >= (n := 3 + ((part[1] & 0x0F) << 8 | part[2])):
+                if n >= 12 and checksum(part[:n]) == 0:
+                    yield part[:n]
+                part = part[n:]
+        if not part or part[0] == 0xFF:
+            part = None
+
+
+def streams(stream: bytes | None) -> list[dict]:
+    """All elementary streams of all programs, in the order of the tables; or one row with an error."""
     if not stream or len(stream) % PACKET:
-        return {"error": "not whole packets"}
+        return [{"error": "not whole packets"}]
     a = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (a[:, 0] != 0x47).any():
-        return {"error": "lost sync"}
+        return [{"error": "lost sync"}]
     pids = (a[:, 1].astype(np.int32) & 0x1F) << 8 | a[:, 2]
-    programs = [(s[k] << 8 | s[k + 1], (s[k + 2] & 0x1F) << 8 | s[k + 3]) for s in _sections(a[pids == 0][:64]) for k in range(8, len(s) - 4, 4)]
-    program, pmt_pid = next((x for x in programs if x[0]), (0, -1))
-    pmt = next((s for s in _sections(a[pids == pmt_pid][:64]) if s[0] == 2), None)
-    if pmt is None:
-        return {"error": "no program"}
-    at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
-    if at + 5 > len(pmt) - 4:
-        return {"error": "no elementary stream"}
-    kind, pid = pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
+    programs: dict[int, int] = {}
+    for s in _sections(a[pids == 0]):
+        for k in range(8, len(s) - 4, 4):
+            if s[0] == 0 and (program := s[k] << 8 | s[k + 1]):
+                programs.setdefault(program, (s[k + 2] & 0x1F) << 8 | s[k + 3])
+    found, seen = [], False
+    for program, pmt_pid in programs.items():
+        pmt = next((s for s in _sections(a[pids == pmt_pid]) if s[0] == 2 and s[3] << 8 | s[4] == program), None)
+        if pmt is None:
+            continue
+        seen = True
+        at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
+        while at + 5 <= len(pmt) - 4:
+            found.append({"error": None, "program": program, "pmt_pid": pmt_pid} | _elementary(a, pids, pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]))
+            at += 5 + ((pmt[at + 3] & 0x0F) << 8 | pmt[at + 4])
+    return found or [{"error": "no elementary stream" if seen else "no program"}]
+
+
+def demux(stream: bytes | None) -> dict:
+    """The first elementary stream."""
+    return streams(stream)[0]
+
+
+def _elementary(a: np.ndarray, pids: np.ndarray, kind: int, pid: int) -> dict:
     rows = a[pids == pid]
     rows = rows[rows[:, 3] & 0x10 > 0]
     counter = rows[:, 3].astype(np.int32) & 0x0F
@@ -163,7 +193,7 @@ def demux(stream: bytes | None) -> dict:
         offsets.append(size)
         parts.append(data)
         size += len(data)
-    return {"error": None, "program": program, "pmt_pid": pmt_pid, "pid": pid, "stream_type": kind, "packets": len(rows), "continuity_errors": lost, "duplicates": int(again.sum()), "pts": pts, "unit_offset": offsets, "random_access": marks, "payload": b"".join(parts)}
+    return {"pid": pid, "stream_type": kind, "packets": len(rows), "continuity_errors": lost, "duplicates": int(again.sum()), "pts": pts, "unit_offset": offsets, "random_access": marks, "payload": b"".join(parts)}
 
 
 def _stored(texts: list[str]) -> pa.Array:
@@ -173,12 +203,15 @@ def _stored(texts: list[str]) -> pa.Array:
 _STREAM = pa.struct([("error", pa.string()), ("program", pa.int32()), ("pmt_pid", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32()), ("packets", pa.int64()), ("continuity_errors", pa.int64()), ("duplicates", pa.int64()), ("pts", pa.list_(pa.int64())), ("unit_offset", pa.list_(pa.int64())), ("random_access", pa.list_(pa.bool_())), ("payload", pa.binary())])
 
 
-def _found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        if not len(batch):
-            yield pa.array([], _STREAM)
-        for part in slices(batch):
-            yield pa.array([demux(x) for x in part.to_pylist()], _STREAM)
+def _reader(one: Callable[[bytes | None], object], kind: pa.DataType) -> Callable[..., Column]:
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            if not len(batch):
+                yield pa.array([], kind)
+            for part in slices(batch):
+                yield pa.array([one(x) for x in part.to_pylist()], kind)
+
+    return found
 
 
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
@@ -187,8 +220,13 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
 
 
 def read(rows: DataFrame, media: str = "media", stream: str = "stream") -> DataFrame:
-    """All columns of `rows` and `stream`: what the reader found in `media`."""
-    return rows.withColumn(stream, F.arrow_udf(_found, STREAM)(F.col(f"`{media}`").cast("binary")))
+    """All columns of `rows` and `stream`: the first elementary stream that the reader found in `media`."""
+    return rows.withColumn(stream, F.arrow_udf(_reader(demux, _STREAM), STREAM)(F.col(f"`{media}`").cast("binary")))
+
+
+def read_all(rows: DataFrame, media: str = "media", found: str = "streams") -> DataFrame:
+    """All columns of `rows` and `found`: an array of all elementary streams of all programs in `media`."""
+    return rows.withColumn(found, F.arrow_udf(_reader(streams, pa.list_(_STREAM)), f"array<{STREAM}>")(F.col(f"`{media}`").cast("binary")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

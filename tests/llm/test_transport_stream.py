@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from millrace.llm import transport_stream as ts
@@ -39,12 +40,71 @@ def test_faults_are_seen():
     assert ts.demux(bad_table)["error"] == "no program"
 
 
+def packets_of(pid, section):
+    """A section over as many packets as it takes."""
+    raw, out = b"\x00" + section, []
+    for k in range(0, len(raw), 184):
+        head = bytes([0x47, (0x40 if not k else 0) | pid >> 8, pid & 0xFF, 0x10 | k // 184 & 0x0F])
+        out.append((head + raw[k : k + 184]).ljust(188, b"\xff"))
+    return b"".join(out)
+
+
+def test_tables_behind_damaged_ones_are_found():
+    payload = ts.padded("some text")
+    stream = ts.mux(payload)
+    bad = stream[:20] + b"\xaa" + stream[21:188]
+    many = b"".join(bad[:3] + bytes([0x10 | k & 0x0F]) + bad[4:] for k in range(200))
+    assert ts.demux(many)["error"] == "no program"
+    assert ts.demux(many + stream)["payload"] == payload
+
+
+def test_all_streams_of_all_programs_and_long_sections():
+    def es(pid, text):  # the stream of one text, moved to another place
+        a = np.frombuffer(ts.mux(ts.padded(text)), np.uint8).reshape(-1, 188)[2:].copy()
+        a[:, 1] = a[:, 1] & 0xE0 | pid >> 8
+        a[:, 2] = pid & 0xFF
+        return a.tobytes()
+
+    entry = lambda kind, pid, more=b"": bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(more)).to_bytes(2, "big") + more
+    pat = ts._section(0, 1, b"\x00\x00\xe0\x10" + b"\x00\x01" + (0xE000 | 0x1000).to_bytes(2, "big") + b"\x00\x02" + (0xE000 | 0x1001).to_bytes(2, "big"))
+    one = ts._section(2, 1, (0xE000 | 0x100).to_bytes(2, "big") + b"\xf0\x00" + entry(6, 0x100, b"x" * 300) + entry(15, 0x101))
+    two = ts._section(2, 2, (0xE000 | 0x200).to_bytes(2, "big") + b"\xf0\x00" + entry(6, 0x200))
+    stream = packets_of(0, pat) + packets_of(0x1000, one) + packets_of(0x1001, two) + es(0x100, "first") + es(0x101, "second" * 99) + es(0x200, "third")
+    got = ts.streams(stream)
+    assert [(x["program"], x["pid"], x["stream_type"], x["continuity_errors"]) for x in got] == [(1, 0x100, 6, 0), (1, 0x101, 15, 0), (2, 0x200, 6, 0)]
+    assert [x["payload"] for x in got] == [ts.padded(t) for t in ("first", "second" * 99, "third")]
+    lost = packets_of(0, pat) + packets_of(0x1000, one)[:188] + packets_of(0x1001, two) + es(0x200, "third")
+    assert [x["program"] for x in ts.streams(lost)] == [2]
+
+
+def reader_by_the_layout(stream):
+    """A plain reader of one stream, packet by packet: its counts and payload."""
+    pes, packets, units, last_pts, access = [], 0, 0, None, 0
+    for k in range(0, len(stream), 188):
+        p = stream[k : k + 188]
+        if (p[1] & 0x1F) << 8 | p[2] != ts.ES_PID:
+            continue
+        packets += 1
+        at = 4
+        if p[3] & 0x20:
+            access += bool(p[4] and p[5] & 0x40)
+            at += 1 + p[4]
+        if p[1] & 0x40:
+            pes.append(b"")
+        pes[-1] += p[at:]
+    for x in pes:
+        units += 1
+        last_pts = (x[9] >> 1 & 7) << 30 | x[10] << 22 | x[11] >> 1 << 15 | x[12] << 7 | x[13] >> 1
+    return b"".join(x[14 : 6 + (x[4] << 8 | x[5])] for x in pes), f"{ts.ES_PID}:6:{packets}:0:{units}:{last_pts}:{access}"
+
+
 def test_tables_and_other_columns(spark):
     docs = spark.createDataFrame([(1, None, b"old"), (1, None, b"old"), (None, "é", b"old")], "doc_id bigint, text string, media binary")
     rows = ts.read(ts.store(docs)).collect()
     assert rows[0]["media"] == rows[1]["media"]
     assert [bytes(r["stream"]["payload"]) for r in rows] == [b" " * 192] * 2 + ["é".encode().ljust(192)]
     assert ts.read(ts.store(docs.limit(0))).collect() == []
+    assert [len(r["streams"]) for r in ts.read_all(ts.store(docs)).collect()] == [1, 1, 1]
     assert ts.read(spark.createDataFrame([(None,)], "media binary")).first()["stream"]["error"] == "not whole packets"
 
 
@@ -58,3 +118,4 @@ def test_query(spark, sf_dir):
         assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(docs[r["doc_id"]].encode()), len(payload), len(stream))
         assert (r["payload_sha256"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stream).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert (payload, r["feature"]) == reader_by_the_layout(stream)
