@@ -90,6 +90,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a written table in the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns(df: DataFrame) -> list[Column]:
     """The columns of `df`, whatever signs their names have."""
     return [F.col(f"`{name.replace('`', '``')}`") for name in df.columns]

@@ -25,11 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import columns, cut, free_name, table
 
 WEIGHTS, SHARE, CAP, CLOSE, STEPS, REPAIRS = (3, 1, 2), 1.5, 2, 1e-6, 100, 6
 #: Groups that the documents of one source and size are dealt to.
 SALTS = 64
+RESULTS = ("size", "source_size", "target", "copies", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -142,10 +143,14 @@ def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, sha
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop(key, salt, hashed, ties, "every", "extra")
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as it has copies."""
-    once = free_name(mixed, "copy")
-    return mixed.where("copies > 0").withColumn(once, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+def repeated(docs: DataFrame, size: Column) -> DataFrame:
+    """Each document of `docs` as often as the mix takes it, with the columns of `docs`, also those with the names of the
+    mix's results. `size` is made of other columns."""
+    own = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in RESULTS}
+    mixed = mix(docs.withColumnsRenamed(own), size)
+    copy = free_name(mixed, "copy")
+    rows = mixed.where("copies > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(copy, *RESULTS)
+    return rows.withColumnsRenamed({new: c for c, new in own.items()}).select(*columns(docs))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

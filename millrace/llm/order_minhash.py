@@ -189,8 +189,9 @@ LINK = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.floa
 
 
 def _links(rows: list[dict]) -> Iterator[tuple[bytes, bytes, float]]:
-    """Links of a block: of each pair of sides 0 and 1, or of two of side 2, that is near, unless the block's links
-    join the two already. Rows of one label are not compared, and pairs only in their first common bucket."""
+    """Links of a block: of each pair of a row of side 1 and another, or of two of side 2, that is near, unless the
+    block's links join the two already. Rows of one label are not compared, and pairs only in their first common
+    bucket."""
     w, begin = words([r["text"] or "" for r in rows])
     n = np.diff(begin)
     counts = np.zeros((len(rows), COUNTERS), np.uint16)
@@ -212,7 +213,9 @@ def _links(rows: list[dict]) -> Iterator[tuple[bytes, bytes, float]]:
     for at, i in enumerate(order):
         if side[i] == 1:
             continue
-        rest = order[at + 1 :][side[order[at + 1 :]] == 2] if side[i] == 2 else np.flatnonzero(side == 1)
+        rest = np.flatnonzero(side == 1)
+        if side[i] == 2:
+            rest = np.concatenate([order[at + 1 :][side[order[at + 1 :]] == 2], rest])
         need = np.ceil(SIMILARITY * np.maximum(n[rest], n[i]) - 1e-9)
         keep = (label[rest] != label[i]) & (np.minimum(n[rest], n[i]) >= need)
         rest, need = rest[keep], need[keep]
@@ -355,10 +358,13 @@ def _mixed(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     met = one.join(two, ["bucket", "meets"]).where(ordered & differ & ~(F.col("big") & F.col("big_2"))).withColumn("block", block)
     same = (F.col("band") == F.col("band_2")) & (F.col("big") == F.col("big_2")) & (F.col("k") == F.col("k_2"))
     met = cut(met.withColumn("same", same).select("block", "same", "bucket", "band", "big", "k", "band_2", "big_2", "k_2"))
-    left = met.select("block", F.when(F.col("same"), 2).otherwise(0).alias("side"), *cell, "k")
+    # A chunk's texts meet each other in one of the blocks where they meet others, if there is one.
+    host = met.groupBy(*cell, "k").agg(F.min(F.when(~F.col("same"), F.col("block"))).alias("host"), F.max("same").alias("own"))
+    left = met.join(host, [*cell, "k"]).where(~F.col("same") | F.col("host").isNull())
+    left = left.select("block", F.when(F.col("same") | F.col("own") & (F.col("block") == F.col("host")), 2).otherwise(0).alias("side"), *cell, "k")
     right = met.where(~F.col("same")).select("block", F.lit(1).alias("side"), "bucket", F.col("band_2").alias("band"), F.col("big_2").alias("big"), F.col("k_2").alias("k"))
-    dealt = rest.join(cells.select(*cell, "chunks"), cell).withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
-    placed = dealt.join(left.unionByName(right), [*cell, "k"]).join(nodes.select("digest", "keys"), "digest")
+    dealt = rest.join(nodes.select("digest", "keys"), "digest").join(cells.select(*cell, "chunks"), cell).withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
+    placed = dealt.join(left.unionByName(right), [*cell, "k"])
     return cut(placed.select("block", "side", "bucket", "keys", "digest", "label"))
 
 
@@ -405,10 +411,11 @@ def first_of_each_class(docs: DataFrame) -> DataFrame:
     first = named.groupBy(found).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest)).alias("first"))
     winners = named.join(first, found).where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(digest) == F.col(f"first.{digest}"))).select("doc_id", digest, rank)
     losers = named.join(first, found).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(digest) == F.col(f"first.{digest}"))))
-    losers = losers.select(F.col("doc_id").alias("lost_id"), F.col(digest).alias("lost_digest"))
-    kept = rows.join(losers, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col(digest) == F.col("lost_digest")), "left_anti")
-    twice = winners.where(F.col(rank) > 1).select(F.col("doc_id").alias("two_id"), F.col(digest).alias("two_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("two_id")) & (F.col(digest) == F.col("two_digest"))
+    lost_id, lost = free_name(docs, "lost_id"), free_name(docs, "lost_digest")
+    losers = losers.select(F.col("doc_id").alias(lost_id), F.col(digest).alias(lost))
+    kept = rows.join(losers, F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(digest) == F.col(lost)), "left_anti")
+    twice = winners.where(F.col(rank) > 1).select(F.col("doc_id").alias(lost_id), F.col(digest).alias(lost))
+    same = F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(digest) == F.col(lost))
     if twice.isEmpty():
         return kept.drop(digest)
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", digest])).drop(digest)

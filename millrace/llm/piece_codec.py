@@ -6,10 +6,12 @@ these two pieces; otherwise the next shorter piece is tried, and when none is le
 its end is marked as failed in a bitfield. The result equals the greedy merge order, in linear time for real texts.
 
 Pieces of the supported models hold the space mark only as a prefix, so text falls into units (a run of space marks
-and what follows it) which encode on their own; a bounded LRU cache keeps the ids of frequent units.
+and what follows it) which encode on their own, each different one once; what a worker keeps of them is bounded by
+`KEPT_BYTES`.
 
-Defined results: null counts as empty; an empty text has only the end id; texts of any length are encoded whole;
-characters that no piece has become byte pieces; equal texts have equal ids; other columns are kept as they are.
+Defined results: null counts as empty; an empty text has only the end id; texts of any length are encoded whole, a long
+one in pieces of whole units; characters that no piece has become byte pieces; equal texts, and so repeated rows and
+ids, have equal ids; an empty table gives no rows; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from .common import arrow_column, free_name, table
 
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Units, and compatible pairs of pieces, kept in a worker: with 400,000 and 524,288 four workers went over an executor's
-#: 3 GB; with these they stay under 2.5 GB. A unit longer than KEPT_CHARS is encoded without the cache.
-CACHE_UNITS, CACHE_PAIRS, KEPT_CHARS = 160_000, 1 << 17, 48
+#: Characters of a text that are cut into units at once, about.
+PART_CHARS = 1 << 20
+PART = re.compile(r"(?<=[^ \n])(?= )")
+#: Bytes of units with their ids that a worker keeps, about, and pairs of pieces known to be compatible or not.
+KEPT_BYTES, KEPT_PAIRS = 24 << 20, 1 << 16
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
 
@@ -62,8 +66,9 @@ class PieceCodec:
             self.automaton.add_word(p, len(p) - 1)
         self.automaton.make_automaton()
         self.shorter = {p: next((n for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), 0) for p in self.ids}
-        self.compatible = lru_cache(CACHE_PAIRS)(self._compatible)
-        self.unit = lru_cache(CACHE_UNITS)(self._unit)
+        self.compatible = lru_cache(KEPT_PAIRS)(self._compatible)
+        self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
         byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         raw = [byte_of.get(i) or (" ⁇ ".encode() if i == self.unknown else b"" if special[i] else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
         self.raw = pa.array(raw, pa.binary())
@@ -97,13 +102,13 @@ class PieceCodec:
         for end, n in self.automaton.iter(text):  # the ends rise, so the longest from each start comes last
             longest[end - n] = n + 1
         out: list[str] = []
-        failed = bytearray(len(text) + 1)
+        failed = bytearray(len(text) // 8 + 1)  # a bit for each place
         at, take, n_all = 0, longest[0], len(text)
         compatible, shorter = self.compatible, self.shorter
         while at < n_all:
             piece = text[at : at + take]
             end = at + take
-            if not failed[end] and (not out or compatible(out[-1], piece)):
+            if not failed[end >> 3] >> (end & 7) & 1 and (not out or compatible(out[-1], piece)):
                 out.append(piece)
                 at = end
                 if at < n_all:
@@ -113,7 +118,7 @@ class PieceCodec:
                 take = shorter[text[at : at + take]]
                 if take:
                     break
-                failed[at] = 1
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("no segmentation")
                 take = len(out.pop())
@@ -136,12 +141,26 @@ class PieceCodec:
             found += [self.ids[p] for p in self.known(unit[start:] if start else unit)]
         return array("i", found).tobytes()
 
+    def part_bytes(self, text: str) -> bytes:
+        """Ids of whole units."""
+        units, kept = UNITS.findall(text), self.kept
+        if self.kept_bytes > KEPT_BYTES:
+            kept.clear()
+            self.kept_bytes = 0
+        for u in set(units).difference(kept):
+            kept[u] = self._unit(u)
+            self.kept_bytes += 200 + 2 * len(u) + len(kept[u])  # with what the dictionary takes
+        return b"".join(map(kept.__getitem__, units))
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids as 32-bit integers, with the end id."""
-        parts = []
-        if text:
-            unit = self.unit
-            parts = [unit(u) if len(u) <= KEPT_CHARS else self._unit(u) for u in UNITS.findall(SPACE + text.replace(" ", SPACE))]
+        parts, at = [], 0
+        while at < len(text):
+            found = PART.search(text, at + PART_CHARS)
+            end = found.start() if found else len(text)
+            part = text[at:end].replace(" ", SPACE)
+            parts.append(self.part_bytes(part if at else SPACE + part))
+            at = end
         parts.append(np.int32(self.end).tobytes())
         return b"".join(parts)
 

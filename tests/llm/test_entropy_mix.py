@@ -44,7 +44,11 @@ def test_targets_caps_and_reruns(spark):
     assert all(r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2 for r in rows)
     again = mixed(spark, docs[::-1]).collect()
     assert sorted((r["doc_id"], r["copies"]) for r in rows) == sorted((r["doc_id"], r["copies"]) for r in again)
-    assert entropy_mix.repeated(mixed(spark, docs), ["doc_id"]).count() == sum(r["copies"] for r in rows)
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string, copies string, `a.b` string")
+    more = entropy_mix.repeated(df, entropy_mix.n_words(F.col("text"))).collect()
+    copies = {r["doc_id"]: r["copies"] for r in rows}
+    assert sorted(r["doc_id"] for r in more) == sorted(k for k, n in copies.items() for _ in range(n))
+    assert {tuple(r) for r in more} <= set(docs)
 
 
 def test_rates_are_tilted_by_size(spark):

@@ -167,6 +167,25 @@ def test_recall_of_near_pairs(share):
     assert near >= 200 and met >= 0.9 * near
 
 
+@pytest.mark.parametrize("chunk", [4, 512])
+def test_all_pairs_of_mixed_buckets_meet_in_blocks(spark, monkeypatch, chunk):
+    """Chunks of any size, of like and unlike lengths: each two members of different classes and like lengths meet once."""
+    monkeypatch.setattr(om, "CHUNK", chunk)
+    rnd = random.Random(12)
+    members = [(b, bytes([b, k]), rnd.randint(20, 90), rnd.choice([bytes([b, 0]), bytes([b, 1]), bytes([b, k])])) for b in range(3) for k in range(40)]
+    frame = spark.createDataFrame([(b, d, n) for b, d, n, _ in members], "bucket bigint, digest binary, words bigint")
+    labels = spark.createDataFrame([(d, x) for _, d, _, x in members], "node binary, label binary")
+    nodes = spark.createDataFrame([(d, [b]) for b, d, _, _ in members], "digest binary, keys array<bigint>")
+    blocks = {}
+    for r in om._mixed(frame, labels, nodes).collect():
+        blocks.setdefault(r["block"], []).append(r)
+    met = []
+    for rows in blocks.values():
+        met += [frozenset((bytes(x["digest"]), bytes(y["digest"]))) for i, x in enumerate(rows) for y in rows[:i] if x["label"] != y["label"] and (x["side"] == 1) + (y["side"] == 1) == 1 or x["label"] != y["label"] and x["side"] == y["side"] == 2]
+    near = [frozenset((x[1], y[1])) for i, x in enumerate(members) for y in members[:i] if x[0] == y[0] and x[3] != y[3] and min(x[2], y[2]) >= om.SIMILARITY * max(x[2], y[2])]
+    assert set(near) <= set(met) and len(met) == len(set(met)) and near
+
+
 def test_pairs_in_a_mixed_hot_bucket_meet(spark):
     """Texts that share a passage and little else fill the buckets; of each some pairs are near, by a key or more."""
     rnd = random.Random(11)
