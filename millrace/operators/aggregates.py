@@ -23,8 +23,10 @@ def sample_kurtosis(x: Column) -> Column:
 
 
 def salted_sum(df: DataFrame, by: list[str], value: Column, salts: int, name: str) -> DataFrame:
-    """Sums in two steps, so that no task has all rows of a hot key even where partial sums don't help."""
-    part = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts))).groupBy(*by, "_salt").agg(F.sum(value).alias("_part"))
+    """Sums in two steps, so that no task has all rows of a hot key even where partial sums don't help. Rows are dealt in
+    turn, so that no column but the keys and the value is read."""
+    rows = df.select(*by, value.alias("_value")).withColumn("_salt", F.monotonically_increasing_id() % salts)
+    part = rows.groupBy(*by, "_salt").agg(F.sum("_value").alias("_part"))
     return part.groupBy(*by).agg(F.sum("_part").alias(name))
 
 

@@ -10,8 +10,10 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list
     """Each left row with the right row of the same key that is latest at or before it (before it, if strict).
 
     Both sides go through one shuffle by key and one running window, so that neither is multiplied; among right rows
-    of one time the greatest values win. `values` are the right columns that are taken. how: inner or left.
+    of one time the greatest values win. `values` are the right columns that are taken. how: inner or left. A null key
+    or time matches nothing. A key's rows meet in one task, sorted, and are read once, never held.
     """
+    right = right.dropna("any", subset=[*by, on])
     payload = F.struct(*(F.col(v) for v in values))
     width = [c for c in left.columns if c not in by and c != on]
     rows = left.select(*by, on, F.lit(1).alias("_side"), F.struct(*(F.col(c) for c in width)).alias("_left"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"))
@@ -41,13 +43,17 @@ def ranges(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, w
 
 
 def salted(left: DataFrame, right: DataFrame, by: list[str], salts: int) -> DataFrame:
-    """An inner join for hot keys on the left: its rows are dealt by chance over `salts` copies of the right's."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    """An inner join for hot keys on the left: its rows are dealt in turn over `salts` copies of the right's, equal rows
+    too. The left must give its rows in the same order if a task runs again, as files do; checkpoint it otherwise."""
+    dealt = left.withColumn("_salt", (F.monotonically_increasing_id() % salts).cast("int"))
     copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copied, [*by, "_salt"]).drop("_salt")
 
 
-def small_or_shuffled(left: DataFrame, right: DataFrame, by: list[str], most_rows: int = 100_000, how: str = "inner") -> DataFrame:
-    """Broadcasts the right side where a count shows it to be small, and leaves the choice to Spark beyond that."""
-    few = right.limit(most_rows + 1).count() <= most_rows
+def small_or_shuffled(left: DataFrame, right: DataFrame, by: list[str], most_rows: int = 100_000, how: str = "inner", most_bytes: int = 16 << 20) -> DataFrame:
+    """Broadcasts the right side where its rows and their bytes are counted to be few, and leaves the choice to Spark
+    beyond that."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    n, n_bytes = right.limit(most_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    few = n <= most_rows and n_bytes <= most_bytes
     return left.join(F.broadcast(right) if few else right, by, how)

@@ -33,10 +33,10 @@ def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("o_orderstatus = 'F'").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@register("format_bytes", "SELECT count(*) AS n_lines FROM nation")
+@register("format_bytes", "SELECT count(*) AS n_lines FROM customer")
 def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "bytes")
-    table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")).write.text(path)
+    table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")).write.text(path)
     rows = formats.files(spark, path, "*.txt").select((F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1).cast("long").alias("n"))
     return rows.agg(F.sum("n").alias("n_lines"))
 
@@ -47,10 +47,10 @@ def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
-@register("format_connector", "SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0")
+@register("format_connector", "SELECT p_partkey, p_name FROM part")
 def own_connector(spark: SparkSession, sf_dir: str) -> DataFrame:
     connector.register(spark)
     parts = table(spark, sf_dir, "part")
     end = parts.agg(F.max("p_partkey")).first()[0] or 0
-    numbers = spark.read.format("millrace_sequence").options(start=0, end=end + 1, step=3).load()
+    numbers = spark.read.format("millrace_sequence").options(start=0, end=end + 1, partitions=spark.sparkContext.defaultParallelism).load()
     return parts.join(numbers, F.col("p_partkey") == F.col("value")).select("p_partkey", "p_name")

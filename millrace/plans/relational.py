@@ -28,7 +28,8 @@ both("filter_between_in", "SELECT l_orderkey, l_linenumber, l_quantity, l_return
 both("filter_like", "SELECT p_partkey, p_name, p_type FROM {part} WHERE p_name LIKE '%a%' AND p_type NOT LIKE 'X%'")
 both("filter_dates", "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderdate >= TIMESTAMP_NTZ '1997-01-01' AND o_orderdate < TIMESTAMP_NTZ '1997-07-01'", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1997-07-01'")
 both("project_case", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS class, coalesce(nullif(p_brand, 'Brand#11'), 'other') AS brand FROM {part}")
-both("filter_not_in_null", "SELECT n_nationkey FROM {nation} WHERE n_nationkey NOT IN (SELECT CASE WHEN r_regionkey > 2 THEN NULL ELSE r_regionkey END FROM {region})")
+both("filter_not_in_null", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT CASE WHEN s_suppkey > 5 THEN NULL ELSE s_suppkey END FROM {supplier}) OR c_acctbal > 5000")
+both("filter_not_in", "SELECT p_partkey FROM {part} WHERE p_partkey NOT IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 40)")
 both("project_safe", "SELECT c_custkey, try_cast(c_name AS INT) AS as_int, try_divide(c_acctbal, c_nationkey) AS share FROM {customer}", "SELECT c_custkey, try_cast(c_name AS INT) AS as_int, CASE WHEN c_nationkey = 0 THEN NULL ELSE c_acctbal / c_nationkey END AS share FROM customer")
 both("project_extremes", "SELECT p_partkey, greatest(p_size, 20, nullif(p_size, 5)) AS most, least(p_size, 20, nullif(p_size, 5)) AS least_of FROM {part}")
 both("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM {lineitem}")
@@ -37,13 +38,14 @@ both("distinct_rows", "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber
 both("join_inner", "SELECT o.o_orderkey, c.c_name, o.o_totalprice FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey")
 both("join_left", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000")
 both("join_right", "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM {customer} WHERE c_nationkey < 5) c RIGHT JOIN {orders} o ON c.c_custkey = o.o_custkey")
-both("join_full", "SELECT a.o_orderkey AS order_a, b.l_orderkey AS order_b, b.n FROM (SELECT o_orderkey FROM {orders} WHERE o_orderkey % 3 = 0) a FULL JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey) b ON a.o_orderkey = b.l_orderkey")
-both("join_cross", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n")
+both("join_full", "SELECT a.o_orderkey AS order_a, b.l_orderkey AS order_b, b.n FROM (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'F') a FULL JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_orderkey) b ON a.o_orderkey = b.l_orderkey")
+both("join_cross", "SELECT r.r_name, c.c_custkey FROM {region} r CROSS JOIN {customer} c")
 both("join_semi", "SELECT c_custkey, c_name FROM {customer} LEFT SEMI JOIN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000) o ON c_custkey = o_custkey", "SELECT c_custkey, c_name FROM customer SEMI JOIN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) o ON c_custkey = o_custkey")
 both("join_anti", "SELECT o_orderkey FROM {orders} LEFT ANTI JOIN {lineitem} ON o_orderkey = l_orderkey", "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey")
-both("join_theta", "SELECT a.n_name AS low, b.n_name AS high FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+both("join_theta", "SELECT c.c_custkey, n.n_nationkey FROM {customer} c JOIN {nation} n ON c.c_nationkey < n.n_nationkey AND n.n_regionkey = 1")
 both("join_range_equi", "SELECT l.l_orderkey, l.l_linenumber, count(*) AS n FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate <= o.o_orderdate GROUP BY l.l_orderkey, l.l_linenumber")
-both("join_null_safe", "SELECT a.p_partkey AS pa, b.p_partkey AS pb FROM (SELECT p_partkey, nullif(p_size, 1) AS s FROM {part} WHERE p_partkey <= 60) a JOIN (SELECT p_partkey, nullif(p_size, 1) AS s FROM {part} WHERE p_partkey <= 60) b ON a.s <=> b.s", "SELECT a.p_partkey AS pa, b.p_partkey AS pb FROM (SELECT p_partkey, nullif(p_size, 1) AS s FROM part WHERE p_partkey <= 60) a JOIN (SELECT p_partkey, nullif(p_size, 1) AS s FROM part WHERE p_partkey <= 60) b ON a.s IS NOT DISTINCT FROM b.s")
+both("join_null_safe", "SELECT o.o_orderkey, c.c_custkey FROM {orders} o JOIN {customer} c ON nullif(o.o_custkey, 1) <=> nullif(c.c_custkey, 1)", "SELECT o.o_orderkey, c.c_custkey FROM orders o JOIN customer c ON nullif(o.o_custkey, 1) IS NOT DISTINCT FROM nullif(c.c_custkey, 1)")
+both("join_hinted", "SELECT /*+ SHUFFLE_HASH(c) */ o.o_orderkey, c.c_mktsegment FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey", "SELECT o.o_orderkey, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
 both("join_lateral", "SELECT c.c_custkey, t.o_orderkey, t.o_totalprice FROM {customer} c, LATERAL (SELECT o_orderkey, o_totalprice FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 both(
     "join_star",
@@ -63,8 +65,9 @@ both("moments", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, r
 both("percentiles", "SELECT c_mktsegment, round(percentile(c_acctbal, 0.25), 6) AS q1, round(median(c_acctbal), 6) AS q2, round(percentile(c_acctbal, 0.9), 6) AS q9 FROM {customer} GROUP BY c_mktsegment", "SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.25), 6) AS q1, round(median(c_acctbal), 6) AS q2, round(quantile_cont(c_acctbal, 0.9), 6) AS q9 FROM customer GROUP BY c_mktsegment")
 both("picked_rows", "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS dearest, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS earliest, bool_or(o_orderstatus = 'F') AS any_f, bool_and(o_totalprice > 1000) AS all_dear, count(*) FILTER (WHERE o_totalprice > 100000) AS n_dear FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS dearest, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS earliest, bool_or(o_orderstatus = 'F') AS any_f, bool_and(o_totalprice > 1000) AS all_dear, count(*) FILTER (WHERE o_totalprice > 100000) AS n_dear FROM orders GROUP BY o_custkey")
 both("most_frequent", "SELECT o_orderpriority, n FROM (SELECT o_orderpriority, count(*) AS n, rank() OVER (ORDER BY count(*) DESC, o_orderpriority) AS r FROM {orders} GROUP BY o_orderpriority) WHERE r = 1")
-both("lists", "SELECT n_regionkey, array_join(array_sort(collect_list(n_name)), ',') AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
-both("list_aggregate", "SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey")
+both("modes", "SELECT o_custkey, mode(o_orderpriority, true) AS usual FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderpriority, (-n, o_orderpriority)) AS usual FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_custkey")
+both("lists", "SELECT o_custkey, array_join(array_sort(collect_list(o_orderpriority)), ',') AS names FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS names FROM orders GROUP BY o_custkey")
+both("list_aggregate", "SELECT o_custkey, listagg(o_orderpriority, ';') WITHIN GROUP (ORDER BY o_orderpriority DESC) AS names FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, string_agg(o_orderpriority, ';' ORDER BY o_orderpriority DESC) AS names FROM orders GROUP BY o_custkey")
 both("rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS INT) AS g FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("cube", "SELECT l_returnflag, l_linenumber, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linenumber)")
 both("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping_id(o_orderstatus, o_orderpriority) AS INT) AS id FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -96,15 +99,16 @@ both("except_distinct", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partk
 both("except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
 both("scalar_subquery", "SELECT c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n FROM {customer} c")
 both("exists", "SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
-both("recursive", "WITH RECURSIVE t(k, path, depth) AS (SELECT r_regionkey, r_name, 0 FROM {region} UNION ALL SELECT n.n_nationkey + 100, t.path || '/' || n.n_name, t.depth + 1 FROM t JOIN {nation} n ON n.n_regionkey = t.k AND t.depth = 0) SELECT k, path, depth FROM t")
+both("recursive", "WITH RECURSIVE t(k, path, depth) AS (SELECT concat('r', r_regionkey), r_name, 0 FROM {region} UNION ALL SELECT e.child, t.path || '/' || e.name, t.depth + 1 FROM t JOIN (SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child, n_name AS name FROM {nation} UNION ALL SELECT concat('n', s_nationkey), concat('s', s_suppkey), s_name FROM {supplier}) e ON e.parent = t.k) SELECT k, path, depth FROM t")
 both("common_tables", "WITH big AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey), most AS (SELECT max(n) AS m FROM big) SELECT b.o_custkey, b.n FROM big b JOIN most ON b.n = most.m")
 
 # Functions.
+both("urls", "SELECT page_id, parse_url(url, 'HOST') AS host, parse_url(url, 'PATH') AS path FROM {pages}", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages")
 both("strings", "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substring(p_name, 2, 4) AS s, replace(p_name, 'a', '_') AS r, lpad(p_brand, 12, '*') AS pad, rpad(p_brand, 12, '.') AS rp, trim(p_type) AS t, reverse(p_name) AS v, concat_ws('-', p_brand, p_type) AS c, CAST(instr(p_name, 'e') AS BIGINT) AS i, startswith(p_type, 'S') AS st, lower(p_type) AS lo, CAST(octet_length(p_name) AS BIGINT) AS o, left(p_name, 3) AS le, right(p_name, 3) AS ri, repeat('ab', 2) AS re, initcap('ab') AS ic FROM {part}", "SELECT p_partkey, upper(p_name) AS u, length(p_name) AS n, substring(p_name, 2, 4) AS s, replace(p_name, 'a', '_') AS r, lpad(p_brand, 12, '*') AS pad, rpad(p_brand, 12, '.') AS rp, trim(p_type) AS t, reverse(p_name) AS v, concat_ws('-', p_brand, p_type) AS c, instr(p_name, 'e') AS i, starts_with(p_type, 'S') AS st, lower(p_type) AS lo, CAST(octet_length(encode(p_name)) AS BIGINT) AS o, left(p_name, 3) AS le, right(p_name, 3) AS ri, repeat('ab', 2) AS re, 'Ab' AS ic FROM part")
 both("split_parts", "SELECT p_partkey, split(p_type, ' ')[0] AS first_word, element_at(split(p_type, ' '), -1) AS last_word, CAST(size(split(p_name, ' ')) AS BIGINT) AS n FROM {part}", "SELECT p_partkey, string_split(p_type, ' ')[1] AS first_word, string_split(p_type, ' ')[-1] AS last_word, len(string_split(p_name, ' ')) AS n FROM part")
 both("digests", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s FROM {customer}", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM customer")
 both("patterns", r"SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS number, regexp_replace(c_name, '[0-9]', '#') AS masked, CAST(regexp_count(c_name, '0') AS BIGINT) AS zeros, c_name RLIKE '1$' AS ends FROM {customer}", r"SELECT c_custkey, regexp_extract(c_name, '([0-9]+)$', 1) AS number, regexp_replace(c_name, '[0-9]', '#', 'g') AS masked, CAST(len(regexp_extract_all(c_name, '0')) AS BIGINT) AS zeros, regexp_matches(c_name, '1$') AS ends FROM customer")
-both("distances", "SELECT a.n_name AS x, b.n_name AS y, CAST(levenshtein(a.n_name, b.n_name) AS BIGINT) AS d FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey")
+both("distances", "SELECT c.c_custkey, CAST(levenshtein(c.c_name, n.n_name) AS BIGINT) AS d FROM {customer} c JOIN {nation} n ON c.c_nationkey = n.n_nationkey")
 both("numbers", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, round(ln(abs(c_acctbal) + 1), 6) AS l, c_custkey % 7 AS m, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, CAST(sign(c_acctbal) AS INT) AS s, c_custkey div 10 AS d, round(c_acctbal, 1) AS one, round(power(c_nationkey, 2), 0) AS p FROM {customer}", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, round(ln(abs(c_acctbal) + 1), 6) AS l, c_custkey % 7 AS m, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(sign(c_acctbal) AS INT) AS s, c_custkey // 10 AS d, round(c_acctbal, 1) AS one, round(power(c_nationkey, 2), 0) AS p FROM customer")
 both("dates", "SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, CAST(weekofyear(o_orderdate) AS BIGINT) AS w, CAST(dayofweek(o_orderdate) - 1 AS BIGINT) AS dow, CAST(o_orderdate AS DATE) AS day, date_format(o_orderdate, 'yyyy-MM') AS ym, CAST(datediff(o_orderdate, TIMESTAMP_NTZ '1995-01-01') AS BIGINT) AS since, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS mon, o_orderdate + INTERVAL '1' MONTH AS later, last_day(o_orderdate) AS ld FROM {orders}", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, quarter(o_orderdate) AS q, day(o_orderdate) AS d, dayofyear(o_orderdate) AS doy, weekofyear(o_orderdate) AS w, dayofweek(o_orderdate) AS dow, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y-%m') AS ym, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS since, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS mon, o_orderdate + INTERVAL 1 MONTH AS later, last_day(o_orderdate) AS ld FROM orders")
 both("time_between", "SELECT event_id, CAST(timestampdiff(MINUTE, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) AS BIGINT) AS minutes, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi FROM {events}", "SELECT event_id, CAST(date_sub('minute', TIMESTAMP '2024-01-01 00:00:00', ts) AS BIGINT) AS minutes, hour(ts) AS h, minute(ts) AS mi FROM events")
@@ -112,8 +116,8 @@ both("json_path", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT
 both("arrays", "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, slice(embedding, 1, 3)[2] AS third, array_max(embedding) AS top, array_min(embedding) AS low, element_at(embedding, -1) AS last_one, CAST(array_position(transform(embedding, x -> x > 0), true) AS BIGINT) AS first_positive FROM {embeddings}", "SELECT vec_id, len(embedding) AS n, embedding[3] AS third, list_max(embedding) AS top, list_min(embedding) AS low, embedding[-1] AS last_one, CAST(coalesce(list_position(list_transform(embedding, lambda x: x > 0), true), 0) AS BIGINT) AS first_positive FROM embeddings")
 both("higher_order", "SELECT vec_id, CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS positive, exists(embedding, x -> x > 2) AS any_big, forall(embedding, x -> x < 10) AS all_small, aggregate(transform(embedding, x -> CAST(round(x * 1000) AS BIGINT)), 0L, (s, x) -> s + x) AS total FROM {embeddings}", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS positive, len(list_filter(embedding, lambda x: x > 2)) > 0 AS any_big, len(list_filter(embedding, lambda x: x < 10)) = len(embedding) AS all_small, CAST(list_sum(list_transform(embedding, lambda x: CAST(sign(x) * floor(abs(x * 1000) + 0.5) AS BIGINT))) AS BIGINT) AS total FROM embeddings")
 both("exploded", "SELECT p_partkey, pos, word FROM {part} LATERAL VIEW posexplode(split(p_name, ' ')) t AS pos, word", "SELECT p_partkey, CAST(unnest(range(len(string_split(p_name, ' ')))) AS INT) AS pos, unnest(string_split(p_name, ' ')) AS word FROM part")
-both("maps", "SELECT n_regionkey, CAST(cardinality(map_from_entries(collect_list(struct(n_nationkey, n_name)))) AS BIGINT) AS n, array_join(array_sort(map_values(map_from_entries(collect_list(struct(n_nationkey, n_name))))), ',') AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, CAST(cardinality(map_from_entries(list((n_nationkey, n_name)))) AS BIGINT) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
-both("structs", "SELECT s.region AS region, count(*) AS n FROM (SELECT named_struct('region', n_regionkey, 'name', n_name) AS s FROM {nation}) GROUP BY s.region", "SELECT s.region AS region, count(*) AS n FROM (SELECT {'region': n_regionkey, 'name': n_name} AS s FROM nation) GROUP BY s.region")
+both("maps", "SELECT o_custkey, CAST(cardinality(map_from_entries(collect_list(struct(o_orderkey, o_orderpriority)))) AS BIGINT) AS n, array_join(array_sort(map_values(map_from_entries(collect_list(struct(o_orderkey, o_orderpriority))))), ',') AS names FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, CAST(cardinality(map_from_entries(list((o_orderkey, o_orderpriority)))) AS BIGINT) AS n, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS names FROM orders GROUP BY o_custkey")
+both("structs", "SELECT s.status AS status, count(*) AS n FROM (SELECT named_struct('status', o_orderstatus, 'key', o_orderkey) AS s FROM {orders}) GROUP BY s.status", "SELECT s.status AS status, count(*) AS n FROM (SELECT {'status': o_orderstatus, 'key': o_orderkey} AS s FROM orders) GROUP BY s.status")
 both("string_concat_nulls", "SELECT p_partkey, p_brand || nullif(p_type, p_type) AS n, concat_ws('-', p_brand, nullif(p_type, p_type)) AS c FROM {part}")
 both("bits", "SELECT p_partkey, p_size & 6 AS a, p_size | 8 AS o, p_size ^ 5 AS x, CAST(bit_count(p_size) AS INT) AS n, shiftleft(p_size, 2) AS l FROM {part}", "SELECT p_partkey, p_size & 6 AS a, p_size | 8 AS o, xor(p_size, 5) AS x, CAST(bit_count(p_size) AS INT) AS n, p_size << 2 AS l FROM part")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.source(spark, f"{sf_dir}/events.parquet")
 
 
+def _closing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable[[], None]]:
+    return runs.closing(spark, f"{sf_dir}/events.parquet", "ts")
+
+
 @register("stream_filter", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 10")
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.drained(_events(spark, sf_dir).where("event_type = 'purchase' AND value > 10").select("event_id", "user_id", "value"))
@@ -26,14 +32,16 @@ def static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_tumbling", "SELECT date_trunc('hour', ts) AS begin, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = operators.windowed(operators.timed(_events(spark, sf_dir)), ["event_type"], "1 hour")
-    return runs.drained(counts, "complete").select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n")
+    events, close = _closing(spark, sf_dir)
+    counts = operators.windowed(operators.timed(events), ["event_type"], "1 hour")
+    return runs.drained(counts, close=close).select(F.col("begin").cast("timestamp_ntz").alias("begin"), "event_type", "n")
 
 
 @register("stream_sliding", "SELECT b AS begin, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS b FROM events) GROUP BY b")
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = operators.windowed(operators.timed(_events(spark, sf_dir)), [], "1 hour", "30 minutes")
-    return runs.drained(counts, "complete").select(F.col("begin").cast("timestamp_ntz").alias("begin"), "n")
+    events, close = _closing(spark, sf_dir)
+    counts = operators.windowed(operators.timed(events), [], "1 hour", "30 minutes")
+    return runs.drained(counts, close=close).select(F.col("begin").cast("timestamp_ntz").alias("begin"), "n")
 
 
 @register(
@@ -44,8 +52,9 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
        GROUP BY user_id, session)""",
 )
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = operators.session_counts(operators.timed(_events(spark, sf_dir)), ["user_id"], "2 hours")
-    return runs.drained(counts, "complete").select("user_id", F.col("begin").cast("timestamp_ntz").alias("begin"), "n")
+    events, close = _closing(spark, sf_dir)
+    counts = operators.session_counts(operators.timed(events), ["user_id"], "2 hours")
+    return runs.drained(counts, close=close).select("user_id", F.col("begin").cast("timestamp_ntz").alias("begin"), "n")
 
 
 @register("stream_distinct", "SELECT event_id, event_type FROM events")
@@ -69,3 +78,11 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = runs.drained(operators.running_counts(_events(spark, sf_dir), "user_id"), "update")
     return counts.groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@register("stream_timers", "SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id")
+def timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' counts, given by a timer when a user has been idle for 500 days; their state ends with it."""
+    events, close = _closing(spark, sf_dir)
+    counts = operators.idle_counts(operators.timed(events).where("user_id is not null or event_id is null"), "user_id", "ts", 500)
+    return runs.drained(counts, close=close, rocks=True).where("user_id is not null").select("user_id", "n", F.col("last").cast("timestamp_ntz").alias("last"))

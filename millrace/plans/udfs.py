@@ -40,25 +40,29 @@ def aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spread(x: pd.Series) -> int:
         return int(x.max() - x.min())
 
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.pandas_udf(spread, "int")("p_size").alias("spread"))
+    sizes = table(spark, sf_dir, "part").select("p_brand", "p_size").distinct()  # what a group hands to Python
+    return sizes.groupBy("p_brand").agg(F.pandas_udf(spread, "int")("p_size").alias("spread"))
 
 
-@register("udf_groups", "SELECT s_nationkey, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS place FROM supplier")
+@register("udf_groups", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS place FROM orders")
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group is one customer's orders, which do not grow with the table."""
+
     def placed(rows: pd.DataFrame) -> pd.DataFrame:
-        return rows.sort_values("s_suppkey").assign(place=range(1, len(rows) + 1))
+        return rows.sort_values("o_orderkey").assign(place=range(1, len(rows) + 1))
 
-    return table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey").groupBy("s_nationkey").applyInPandas(placed, "s_nationkey int, s_suppkey bigint, place bigint")
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").groupBy("o_custkey").applyInPandas(placed, "o_custkey bigint, o_orderkey bigint, place bigint")
 
 
 @register("udf_cogroups", "SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
 def cogroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     def counted(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n_nationkey": [key[0]], "customers": [len(a)], "suppliers": [len(b)]})
+        return pd.DataFrame({"n_nationkey": [key[0]], "customers": [int(a["n"].sum())], "suppliers": [int(b["n"].sum())]})
 
-    a = table(spark, sf_dir, "customer").select("c_nationkey").groupBy("c_nationkey")
-    b = table(spark, sf_dir, "supplier").select("s_nationkey").groupBy("s_nationkey")
-    return a.cogroup(b).applyInPandas(counted, "n_nationkey int, customers bigint, suppliers bigint")
+    # Counted before, so that a group is a row of each side.
+    a = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    b = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    return a.groupBy("c_nationkey").cogroup(b.groupBy("s_nationkey")).applyInPandas(counted, "n_nationkey int, customers bigint, suppliers bigint")
 
 
 @register("udf_batches", "SELECT c_custkey, c_acctbal > 0 AS positive FROM customer")

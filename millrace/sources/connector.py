@@ -1,4 +1,4 @@
-"""A connector of the user's own: the Python data source API over a directory of delimited lines."""
+"""A connector of the user's own: numbers made by the Python data source API, for keys that a table may lack."""
 
 from __future__ import annotations
 

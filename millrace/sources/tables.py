@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,8 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a local one only where that isn't set."""
+    """A new folder under spark.checkpoint.dir; under a local one where that isn't set and all is local."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def timed(stream: DataFrame, at: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -44,3 +45,40 @@ def running_counts(stream: DataFrame, key: str) -> DataFrame:
         yield pd.DataFrame({key: [keys[0]], "n": [n]})
 
     return stream.select(key).groupBy(key).applyInPandasWithState(step, f"{key} bigint, n bigint", "n bigint", "update", "NoTimeout")
+
+
+class Idle(StatefulProcessor):
+    """Counts the rows of a key, and gives the count when none has come for some days of event time."""
+
+    def __init__(self, key: str, at: str, days: int) -> None:
+        self.key, self.at, self.millis = key, at, days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "n bigint, last timestamp, timer bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        n, last, timer = self.seen.get() if self.seen.exists() else (0, None, None)
+        for part in rows:
+            n, latest = n + len(part), part[self.at].max().to_pydatetime()
+            last = latest if last is None else max(last, latest)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = int(pd.Timestamp(last).timestamp() * 1000) + self.millis
+        self.handle.registerTimer(timer)
+        self.seen.update((n, last, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        n, last, _ = self.seen.get()
+        self.seen.clear()
+        yield pd.DataFrame({self.key: [key[0]], "n": [n], "last": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def idle_counts(stream: DataFrame, key: str, at: str, days: int) -> DataFrame:
+    """(key, n, last): the rows of a key, given once it has been idle for `days`; then its state ends. Needs a watermark
+    and RocksDB state."""
+    rows = stream.select(key, at).groupBy(key)
+    return rows.transformWithStateInPandas(Idle(key, at, days), f"{key} bigint, n bigint, last timestamp", "append", "EventTime")

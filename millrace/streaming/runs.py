@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import fresh_folder
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def source(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A file stream with the schema of the files that are there: one file, or a directory of them."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
@@ -15,10 +22,23 @@ def source(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")  # a pattern may name a single file, a plain path may not
 
 
-def drained(stream: DataFrame, mode: str = "append", **options: str) -> DataFrame:
+def closing(spark: SparkSession, path: str, at: str) -> tuple[DataFrame, Callable[[], None]]:
+    """A file stream, and a call that sends its closing event: a row of a time long after all others and nulls beside.
+    It moves the watermark past all windows, so that append mode gives them and their state ends."""
+    rows = spark.read.parquet(path)
+    folder = fresh_folder(spark, "closing")
+    rows.limit(0).write.parquet(folder)
+    last = rows.agg((F.max(at) + F.expr("interval 1000 days")).alias(at))
+    blank = [F.col(at) if f.name == at else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    return source(spark, path).union(spark.readStream.schema(rows.schema).parquet(folder)), lambda: last.select(*blank).write.mode("append").parquet(folder)
+
+
+def drained(stream: DataFrame, mode: str = "append", close: Callable[[], None] | None = None, rocks: bool = False, **options: str) -> DataFrame:
     """What the stream has given once all input is read: all batches in append mode, the last one in complete mode.
-    Each batch is written under its number, so that a batch which runs again replaces itself."""
+    `close` is called when all is read, and what it adds is read by going on from the checkpoint. Each batch is written
+    under its number, so that a batch which runs again replaces itself. rocks: state is kept by RocksDB."""
     spark = stream.sparkSession
+    provider = spark.conf.get(PROVIDER)
     out, state = fresh_folder(spark, "stream"), fresh_folder(spark, "state")
     last: list[int] = []
 
@@ -26,8 +46,15 @@ def drained(stream: DataFrame, mode: str = "append", **options: str) -> DataFram
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
         last.append(number)
 
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", state).options(**options).trigger(availableNow=True).start()
-    query.awaitTermination()
+    for before in (None, close) if close else (None,):
+        if before:
+            before()
+        spark.conf.set(PROVIDER, ROCKS if rocks else provider)
+        try:
+            query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", state).options(**options).trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(PROVIDER, provider)
+        query.awaitTermination()
     if not last:
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":

@@ -104,3 +104,89 @@ def test_plans_push_down_and_prune(spark, sf_dir):
     plan = QUERIES["pricing_summary"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan
     assert "l_comment" not in plan and "l_partkey" not in plan
+
+
+def test_asof_never_takes_null_keys_or_times(spark):
+    left = spark.createDataFrame([(1, 5, "b"), (None, 5, "n"), (1, None, "t")], "k int, t int, v string")
+    right = spark.createDataFrame([(1, None, "y"), (None, 4, "z")], "k int, t int, w string")
+    assert rows(joins.asof(left, right, ["k"], "t", ["w"])) == []
+    assert rows(joins.asof(left, right, ["k"], "t", ["w"], how="left")) == sorted([(1, 5, "b", None), (None, 5, "n", None), (1, None, "t", None)], key=str)
+
+
+def test_changes_and_merge_with_nulls(spark):
+    schema = "k int, a string, b string"
+    old = spark.createDataFrame([(1, None, "x"), (None, "p", "q"), (2, "s", None)], schema)
+    new = spark.createDataFrame([(1, "x", None), (None, "p", "r"), (2, "s", None)], schema)
+    assert rows(sets.changes(old, new, ["k"])) == sorted([(1, "update"), (None, "update")], key=str)
+    assert rows(sets.changes(old, old, ["k"])) == [] and rows(sets.changes(old.select("k"), new.select("k"), ["k"])) == []
+    assert rows(sets.merged(old, new, ["k"])) == rows(new)
+
+
+def test_salts_deal_equal_rows_too(spark):
+    left = spark.createDataFrame([(1, "a")] * 4000, "k int, v string")
+    right = spark.createDataFrame([(1, "w")], "k int, w string")
+    plan = joins.salted(left, right, ["k"], 8)
+    assert plan.count() == 4000
+    dealt = left.withColumn("_salt", (F.monotonically_increasing_id() % 8).cast("int")).groupBy("_salt").count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) < 600
+    wide = left.select("k", F.lit(2).alias("x"), F.lit("unread").alias("y"))
+    assert "unread" not in aggregates.salted_sum(wide, ["k"], F.col("x"), 4, "n")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_sides_are_known_by_rows_and_bytes(spark):
+    left = spark.createDataFrame([(k, "v") for k in range(50)], "k int, v string")
+    right = spark.createDataFrame([(k, "w" * 1000) for k in range(50)], "k int, w string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "BroadcastHashJoin" in plan(joins.small_or_shuffled(left, right, ["k"]))
+        assert "SortMergeJoin" in plan(joins.small_or_shuffled(left, right, ["k"], most_rows=10))
+        assert "SortMergeJoin" in plan(joins.small_or_shuffled(left, right, ["k"], most_bytes=10_000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_join_plans(spark, sf_dir):
+    from millrace.plans.registry import QUERIES
+
+    plan = lambda name: QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan("join_hinted")
+    assert "BroadcastHashJoin" in plan("join_star")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "SortMergeJoin" in plan("join_inner")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_errors_of_ansi_mode_are_raised(spark):
+    from pyspark.errors import ArithmeticException, NumberFormatException
+
+    df = spark.createDataFrame([(1, 0, "x")], "a int, b int, s string")
+    with pytest.raises(ArithmeticException):
+        df.select(F.col("a") / F.col("b")).collect()
+    with pytest.raises(NumberFormatException):
+        df.select(F.col("s").cast("int")).collect()
+    assert df.select(F.try_divide("a", "b"), F.col("s").try_cast("int")).first() == (None, None)
+
+
+def test_upper_case_of_german_text(spark):
+    texts = ["straße", "öl", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(F.upper("t")).collect()] == [t if t is None else t.upper() for t in texts]
+
+
+def test_sketches_stay_near_exact_counts(spark, sf_dir):
+    from millrace.plans.registry import QUERIES
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    exact = {r[0]: r for r in lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey"), F.count_distinct("l_suppkey"), F.sort_array(F.collect_list("l_extendedprice")).alias("p")).collect()}
+    for r in QUERIES["approximate_distinct"](spark, sf_dir).collect():
+        assert abs(r["parts"] / exact[r["l_returnflag"]][1] - 1) <= 0.06 and abs(r["suppliers"] / exact[r["l_returnflag"]][2] - 1) <= 0.05
+    for r in QUERIES["approximate_percentiles"](spark, sf_dir).collect():
+        prices = exact[r["l_returnflag"]]["p"]
+        for share, cut in zip((0.1, 0.5, 0.9), r["cuts"], strict=True):
+            assert prices[max(0, int((share - 0.01) * len(prices)))] <= cut <= prices[min(len(prices) - 1, int((share + 0.01) * len(prices)))]
+    years = {r[0]: r[1] for r in lines.groupBy(F.year("l_shipdate")).agg(F.count_distinct("l_orderkey")).collect()}
+    for r in QUERIES["merged_sketches"](spark, sf_dir).collect():
+        assert abs(r["orders"] / years[r["year"]] - 1) <= 0.05
