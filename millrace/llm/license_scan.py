@@ -8,8 +8,9 @@ Only DataFrame functions are used. The known table is fixed and has under a hund
 without their titles and appendices, and notices), so it is sent to all executors.
 
 Defined results: null and empty texts have no licence; a text that is a known one but for a word has none; a notice
-that occurs on several lines is named once and counted each time; a notice that is the whole text is both; repeated
-rows give repeated results; other columns are kept.
+that occurs on several lines is named once and counted each time; a notice that is the whole text is both; of several
+licences with one canonical text the first name counts; very long texts are digested and read line by line whole;
+repeated rows give repeated results; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations

@@ -41,6 +41,34 @@ def test_pipeline_stages(spark, sf_dir):
         before = after
 
 
+CLASHING = ["size", "source_size", "target", "copies", "taken", "a.b", "text_digest", "quality_found", "lost_id", "lost_digest", "row_rank", "class_found", "spans", "added", "digest", "label", "key", "salt", "hash", "tie", "copy", "bucket", "own_size"]
+
+
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    """Null, empty, very long, tied and repeated rows, null ids, and columns with names that the stages use."""
+    sf_dir = "/root/testdata/sf0.001"
+    good = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1"), "doc_id").orderBy("doc_id").limit(4).collect()]
+    long = " ".join(good * 60)
+    texts = [(1, None), (2, ""), (3, long), (4, good[0]), (4, good[0]), (5, good[0]), (None, good[1]), (None, good[1]), (6, good[1]), (7, good[2] + " write to jane@corp.example"), (8, good[3])]
+    rows = [(k, t, "en", None if k == 8 else "s", None if t is None else len(t), *(f"{c}-{n}" for c in CLASHING)) for n, (k, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, sf_dir)
+        assert name == "token_ids" or made.columns == docs.columns
+        out[name] = made.collect()
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
+    assert {tuple(r) for r in out["quality"]} <= set(rows) and {r["doc_id"] for r in out["quality"]} >= {3, 4, 5, 6, 7, 8}
+    assert sorted(((str(r["doc_id"]), r["text"]) for r in out["near_duplicates"]), key=lambda x: x[0]) == [("1", None), ("3", long), ("4", good[0]), ("6", good[1]), ("7", texts[9][1]), ("8", good[3])]
+    assert {tuple(r) for r in out["near_duplicates"]} <= set(rows)
+    clean = {r["size"]: r for r in out["personal_data"]}
+    assert len(clean) == len(rows) and clean["size-0"]["text"] is None and clean["size-1"]["text"] == "" and clean["size-9"]["text"].endswith("write to [EMAIL]") and clean["size-9"]["n_chars"] == len(clean["size-9"]["text"])
+    assert all(clean[f"size-{n}"][c] == f"{c}-{n}" for n in range(len(rows)) for c in CLASHING)
+    assert {tuple(r) for r in out["source_weights"]} <= set(rows)
+    tokens = [(str(r["doc_id"]), r["n_tokens"], r["decoded_sha256"]) for r in out["token_ids"]]
+    assert len(tokens) == len(rows) and sum(n == 1 for _, n, _ in tokens) == 2
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
