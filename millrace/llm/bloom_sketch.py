@@ -9,7 +9,8 @@ shared digests by that of all digests, exactly.
 
 Defined results: null counts as empty; two texts without paragraphs have likeness 1; equal texts have equal
 fingerprints and likeness 1; words longer than `LONG` are cut; a paragraph that occurs again counts again; texts of
-any length are sketched whole.
+any length are sketched whole; of rows with one id that with the least hash of its text comes first, and equal rows
+follow each other; ids are whole numbers; an empty table gives no rows; columns but doc_id and text are left out.
 """
 
 from __future__ import annotations
@@ -187,25 +188,51 @@ def _partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compared(ids, texts, following)
 
 
+#: Bytes of texts in a bucket, about, and ranges of ids that are told apart by their quantiles.
+BUCKET_BYTES, RANGES = 64 << 20, 256
+
+
+def _bucketed(rows: DataFrame, buckets: int | None) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text, h) with their buckets by descending id, and the number of these. Ranges between quantiles are
+    cut evenly where they are large; an id with more rows than two buckets hold, and a null id, is cut by hashes."""
+    spark = rows.sparkSession
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
+    cuts = [k / RANGES for k in range(1, RANGES)]
+    total, nulls, low, high, quantiles = rows.agg(F.sum(n_bytes), F.sum(F.when(F.col("doc_id").isNull(), n_bytes)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", cuts, 10_000)).first()
+    per = max(1, (total or 0) // buckets) if buckets else min(BUCKET_BYTES, max(1, (total or 0) // spark.sparkContext.defaultParallelism))
+    n_ranges = max(1, min(RANGES, -(-(total or 0) // per)))
+    # A row for each id that fills two buckets.
+    hot = {r["doc_id"]: r["n"] for r in rows.where("doc_id is not null").groupBy("doc_id").agg(F.sum(n_bytes).alias("n")).where(F.col("n") > 2 * per).collect()}
+    edges = sorted({quantiles[k * RANGES // n_ranges - 1] for k in range(1, n_ranges) if quantiles} | {e for k in hot for e in (k, k + 1)})
+    tops = [high, *(e - 1 for e in reversed(edges)), None]  # of each range, the highest first, nulls last
+    bottoms = [*reversed(edges), low, None]
+    even = -(-(total or 0) // n_ranges // per)
+    parts = [-(-hot[b] // per) if b in hot and t == b else max(1, even) for t, b in zip(tops[:-1], bottoms[:-1], strict=True)] + [max(1, -(-(nulls or 0) // per))]
+    by_hash = [b in hot and t == b for t, b in zip(tops, bottoms, strict=True)][:-1] + [True]
+    first = [sum(parts[:k]) for k in range(len(parts))]
+    pick = lambda values, kind: F.element_at(F.array(*map(F.lit, values)).cast(f"array<{kind}>"), F.col("range") + 1)
+    found = F.lit(len(edges)) - F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("doc_id"))) if edges else F.lit(0)
+    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(found))
+    width = [max(1, t - b + 1) if t is not None and b is not None else 1 for t, b in zip(tops, bottoms, strict=True)]
+    share = F.when(pick(by_hash, "boolean"), F.col("h") / F.lit(2.0**64) + 0.5).otherwise((pick(tops, "bigint") - F.col("doc_id")) / pick(width, "double"))
+    part = F.least(F.greatest(F.floor(share * pick(parts, "int")), F.lit(0)), pick(parts, "int") - 1)
+    return rows.withColumn("bucket", (pick(first, "int") + part).cast("int")).drop("range"), sum(parts)
+
+
 def compare_with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Of each row (doc_id bigint, text): fingerprints of the text and of the edited text, and their likeness to the
     text; and the text's likeness to the next one, by descending doc_id, the first following the last. Rows with equal
     doc_id follow each other by text; rows with a null doc_id come last.
 
     Rows are dealt to buckets of doc_id ranges, in one shuffle of the texts. Each bucket gets a copy of the first row
-    of the next one as a guest, found by a small table of one row for each bucket.
+    of the next one as a guest, found by a small table of one row for each bucket. buckets: about how many; by default
+    as many as the bytes of the texts ask for.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    edges = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10_000)).first()[0] if buckets > 1 else None
-    edges = sorted(set(edges or []))
-    high = F.array(*map(F.lit, edges)) if edges else F.array().cast("array<bigint>")
-    # Bucket 0 has the highest ids; nulls come behind all.
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(edges) + 1).otherwise(len(edges) - F.size(F.filter(high, lambda e: e <= F.col("doc_id")))))
+    rows, n_buckets = _bucketed(rows.withColumn("h", F.xxhash64("text")), buckets)
     # The first row of each bucket: by the highest id, then the smallest text by hash and by itself.
     place = [F.desc_nulls_last("doc_id"), F.asc("h"), F.asc_nulls_first("text")]
-    rows = rows.withColumn("h", F.xxhash64("text"))
     heads = rows.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"), F.max_by(F.struct("h"), F.struct("doc_id", -F.col("h").cast("decimal(20,0)")))["h"].alias("h")).collect()  # a row for each bucket
     order = sorted(r["bucket"] for r in heads)
     if not order:
@@ -215,7 +242,7 @@ def compare_with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     guests = rows.join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h")) & (F.col("bucket") == F.col("head_bucket")))
     guests = guests.select(F.col("host").alias("bucket"), "doc_id", "text", "h", F.lit(1).alias("guest"))
     both = rows.select("bucket", "doc_id", "text", "h", F.lit(0).alias("guest")).unionByName(guests)
-    dealt = both.repartitionById(len(edges) + 2, F.col("bucket")).sortWithinPartitions("bucket", "guest", *place)
+    dealt = both.repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "guest", *place)
     return dealt.select("bucket", "doc_id", "text", "guest").mapInArrow(_partition, "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

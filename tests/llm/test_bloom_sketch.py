@@ -56,6 +56,25 @@ def test_the_next_document_across_buckets(spark):
         assert len(got) == len(docs)
 
 
+def test_hot_ids_and_nulls_are_dealt_over_buckets(spark):
+    rnd = random.Random(5)
+    words = lambda: " ".join(rnd.choice("abcdefgh") * 3 for _ in range(30))
+    docs = [(k, words()) for k in range(-40, 40)] + [(7, words()) for _ in range(200)] + [(None, words()) for _ in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("h", b.F.xxhash64("text"))
+    dealt, n = b._bucketed(rows, 12)
+    got = dealt.collect()
+    for hot in (7, None):
+        own = {}
+        for r in got:
+            if r["doc_id"] == hot:
+                own.setdefault(r["bucket"], []).append(r)
+        assert len(own) >= 4 and max(map(len, own.values())) <= 90
+    order = sorted(got, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    assert [r["bucket"] for r in order] == sorted(r["bucket"] for r in order) and max(r["bucket"] for r in got) < n
+    want = sorted((str(r["doc_id"]), b.edited(r["text"], order[(k + 1) % len(order)]["text"])) for k, r in enumerate(order))
+    assert sorted((str(r["doc_id"]), r["edited_text"]) for r in compared(spark, docs, 12)) == want
+
+
 def test_nulls_ties_single_and_empty(spark):
     got = compared(spark, [(1, "a b c"), (1, "a b c"), (1, "x y z"), (None, None), (None, "q r s")], 2)
     assert len(got) == 5
