@@ -37,7 +37,7 @@ UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 PART_CHARS = 1 << 20
 PART = re.compile(r"(?<=[^ \n])(?= )")
 #: Bytes of units with their ids that a worker keeps, about, and pairs of pieces known to be compatible or not.
-KEPT_BYTES, KEPT_PAIRS = 24 << 20, 1 << 16
+KEPT_BYTES, KEPT_PAIRS = 48 << 20, 1 << 17
 
 codecs.register_error("one_byte", lambda e: ("�", e.start + 1))
 
@@ -68,6 +68,7 @@ class PieceCodec:
         self.shorter = {p: next((n for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), 0) for p in self.ids}
         self.compatible = lru_cache(KEPT_PAIRS)(self._compatible)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.kept_bytes = 0
         byte_of = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         raw = [byte_of.get(i) or (" ⁇ ".encode() if i == self.unknown else b"" if special[i] else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)]
@@ -142,14 +143,14 @@ class PieceCodec:
         return array("i", found).tobytes()
 
     def part_bytes(self, text: str) -> bytes:
-        """Ids of whole units."""
-        units, kept = UNITS.findall(text), self.kept
-        if self.kept_bytes > KEPT_BYTES:
-            kept.clear()
-            self.kept_bytes = 0
+        """Ids of whole units. What is kept is of two ages: units that come again get young again, and the older ones go
+        when the young ones take half of the bound."""
+        if self.kept_bytes > KEPT_BYTES // 2:
+            self.older, self.kept, self.kept_bytes = self.kept, {}, 0
+        units, kept, older = UNITS.findall(text), self.kept, self.older
         for u in set(units).difference(kept):
-            kept[u] = self._unit(u)
-            self.kept_bytes += 200 + 2 * len(u) + len(kept[u])  # with what the dictionary takes
+            kept[u] = ids = older.get(u) or self._unit(u)
+            self.kept_bytes += 150 + 2 * len(u) + len(ids)  # with what the dictionary takes
         return b"".join(map(kept.__getitem__, units))
 
     def encode_bytes(self, text: str) -> bytes:
