@@ -299,6 +299,9 @@ def joined_labels(labels: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(old.union(on.join(labels.select("node"), "node", "left_anti").select("node", "label")))
 
 
+# Sums by a key are cut before they are joined to the rows of that key, so that both sides are shuffled for the join and a
+# hot key's rows can be split.
+
 #: Digests that are sent to all executors at most, 16 bytes each; more are joined by shuffle.
 SENT_DIGESTS = 100_000
 
@@ -326,7 +329,7 @@ def _with_pivots(members: DataFrame) -> DataFrame:
     """Blocks of pivots with the texts that share a bucket with them."""
     fits = (F.col("digest") != F.col("pivot")) & _fits(F.col("words"), F.col("pivot_words"))
     pairs = cut(members.where(fits).select("pivot", "digest", "words").distinct())
-    sizes = pairs.groupBy("pivot").agg(_chunks(F.count("*"), F.sum("words")).alias("chunks"))
+    sizes = cut(pairs.groupBy("pivot").agg(_chunks(F.count("*"), F.sum("words")).alias("chunks")))
     block = F.xxhash64("pivot", "k").alias("block")
     common = [F.lit(None).cast("bigint").alias("bucket"), F.lit(None).cast("array<bigint>").alias("keys")]
     others = pairs.join(sizes, "pivot").withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
@@ -344,7 +347,7 @@ def _mixed(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame
     needn't meet each other."""
     named = members.select("bucket", "digest", "words").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     by_class = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("most"))
-    mixed = by_class.where("classes > 1").select("bucket", F.col("most.label").alias("largest"))
+    mixed = cut(by_class.where("classes > 1").select("bucket", F.col("most.label").alias("largest")))
     band = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
     rest = cut(named.join(mixed, "bucket").select("bucket", "digest", "words", "label", band.alias("band"), (F.col("label") == F.col("largest")).alias("big")))
     cell = ["bucket", "band", "big"]
@@ -375,7 +378,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = rows.withColumn("s", sketch_column()(F.col("text"))).select("digest", F.col("s")["words"].alias("words"), F.col("s")["keys"].alias("keys"))
     nodes = cut(found.groupBy("digest").agg(F.first("words").alias("words"), F.first("keys").alias("keys")))
     members = nodes.select("digest", "words", F.explode("keys").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("digest", "words")).alias("pivot")).where("size > 1")
+    buckets = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("digest", "words")).alias("pivot")).where("size > 1"))
     members = cut(members.join(buckets, "bucket").select("bucket", "digest", "words", F.col("pivot.digest").alias("pivot"), F.col("pivot.words").alias("pivot_words")))
     links = _linked(_with_pivots(members), rows)
     labels = components(links)
@@ -397,7 +400,7 @@ def with_class(docs: DataFrame, found: str = "class_id", similarity: str | None
     if similarity:
         ends = links.select(F.col("a").alias(digest), "similarity").unionByName(links.select(F.col("b").alias(digest), "similarity"))
         named = named.join(ends.groupBy(digest).agg(F.max("similarity").alias(most)), digest, "left").withColumn(similarity, F.col(most))
-    return rows.join(named.select(digest, *new), digest).drop(digest)
+    return rows.join(cut(named.select(digest, *new)), digest).drop(digest)
 
 
 def first_of_each_class(docs: DataFrame) -> DataFrame:
