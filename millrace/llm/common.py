@@ -33,7 +33,7 @@ UP, DOWN = _powers(MULTIPLIER), _powers(pow(MULTIPLIER, -1, 1 << 64))
 def span_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of the bytes b[start:stop], both rising: equal bytes have equal hashes wherever they stand. The sums are
     made piece by piece, so that beside the hashes little memory is taken."""
-    low, high, shift = (np.zeros(len(start), U) for _ in range(3))
+    found, shift = np.zeros(len(start), U), np.zeros(len(start), U)
     base, scale, back = np.zeros(1, U), np.ones(1, U), np.ones(1, U)
     for at in range(0, len(b) + 1, PIECE):
         piece = b[at : at + PIECE]
@@ -41,11 +41,13 @@ def span_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
         np.cumsum((piece.astype(U) + U(1)) * UP[: len(piece)], out=total[1:])
         total = base + scale * total
         i, j = np.searchsorted(start, (at, at + PIECE))
-        low[i:j], shift[i:j] = total[start[i:j] - at], back * DOWN[start[i:j] - at]
+        found[i:j] -= total[start[i:j] - at]
+        shift[i:j] = back * DOWN[start[i:j] - at]
         i, j = np.searchsorted(stop, (at, at + PIECE))
-        high[i:j] = total[stop[i:j] - at]
+        found[i:j] += total[stop[i:j] - at]
         base, scale, back = total[-1:], scale * UP[PIECE], back * DOWN[PIECE]
-    return (high - low) * shift
+    found *= shift
+    return found
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -73,11 +73,12 @@ def described(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = np.stack([np.add.reduceat(kinds == c, begins, dtype=np.int64) for c in range(N_CLASSES)], axis=1)
     count[:, BLANK] -= 1  # the line's end
     blank = kinds == BLANK
-    start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    stop = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
+    edge = np.flatnonzero(np.diff(blank.view(np.int8), prepend=np.int8(1), append=np.int8(1)))
+    start, stop = edge[::2], edge[1::2]  # a line feed ends the last text
     del blank
     word = span_hashes(b, start, stop)
     of = np.searchsorted(begins, start, side="right") - 1
+    del edge, start, stop
     words = np.bincount(of, minlength=n)
     again = np.zeros((2, n), np.int64)
     for lag in (1, 2):

@@ -76,3 +76,43 @@ def test_query_on_held_out_rows(spark):
     pairs = [(g > b) + 0.5 * (g == b) for g, q in held if q for b, p in held if not p]
     assert sum(pairs) / len(pairs) > 0.97
     assert sum((s >= 0.7) == q for s, q in held) / len(held) > 0.95
+
+
+def test_memory_for_a_long_text():
+    import tracemalloc
+
+    text = "The river was calm and wide, then it rose again over the banks.\n" * 30_000
+    for run in (lambda: line_crf.described([text]), lambda: line_crf.described([text.replace("\n", " ")])):
+        tracemalloc.start()
+        run()
+        assert tracemalloc.get_traced_memory()[1] <= 16 * len(text)
+        tracemalloc.stop()
+
+
+def test_hashes_of_spans_don_t_depend_on_pieces(monkeypatch):
+    from millrace.llm import common
+
+    b = np.random.default_rng(1).integers(0, 4, common.PIECE * 2 + 77, np.uint8)
+    cut = np.sort(np.random.default_rng(2).choice(len(b), 4000, replace=False))
+    start, stop = cut[::2], cut[1::2]
+    got = common.span_hashes(b, start, stop)
+    for k in range(0, 2000, 37):
+        span = b[start[k] : stop[k]]
+        assert got[k] == common.span_hashes(span.copy(), np.array([0]), np.array([len(span)]))[0]
+    whole = common.span_hashes(b, np.array([0]), np.array([len(b)]))
+    assert whole[0] == common.span_hashes(np.concatenate([b, b]), np.array([len(b)]), np.array([2 * len(b)]))[0]
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs, labels = made(spark, 30)
+    model = line_crf.learn(docs, labels)
+    wide = docs.select("doc_id", "text", "quality_found", *(docs["text"].alias(c) for c in ("a.b", "score", "lines", "h", "good")))
+    rows = line_crf.score(wide, model, found="found").collect()
+    assert all(r["a.b"] == r["text"] == r["h"] and r["quality_found"] == "x" and 0 <= r["found"]["score"] <= 1 for r in rows)
+
+
+def test_of_repeated_ids_one_text_teaches(spark):
+    docs, labels = made(spark, 60)
+    more = docs.unionByName(docs.limit(5)).unionByName(docs.where("doc_id = 7").crossJoin(spark.range(300)).drop("id"))
+    one, two = line_crf.learn(docs, labels), line_crf.learn(more, labels)
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.curve, two.curve)
