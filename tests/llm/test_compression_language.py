@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 from millrace.llm import compression_language as cl
@@ -65,3 +66,30 @@ def test_query_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in held) / len(held) > 0.96
+
+
+def test_query_equals_plain_compression(spark, sf_dir):
+    """Samples by their hashes, and all sizes by new compressors, one for each block."""
+    import regex
+    import xxhash
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    held = lambda r: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    plain = lambda t: re.sub(r"[\W_]+", " ", t.lower())
+    contents = {}
+    for lang in sorted({r["lang"] for r in docs if r["lang"]}):
+        texts = sorted({r["text"] for r in docs if r["lang"] == lang and not held(r) and regex.search(r"\p{L}", r["text"] or "")}, key=signed)[: cl.DOCS_PER_LANGUAGE]
+        contents[lang] = "\n".join(dict.fromkeys(map(plain, texts[::-1]))).encode()
+
+    def size(raw, content):
+        return sum(len(zstandard.ZstdCompressor(level=cl.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[k : k + cl.BLOCK_BYTES])) for k in range(0, len(raw), cl.BLOCK_BYTES))
+
+    assert cl.learn(spark.createDataFrame([r for r in docs if not held(r)], "doc_id bigint, text string, lang string, source string, n_chars bigint")) == contents
+    got = {r["doc_id"]: r for r in cl.query(spark, sf_dir).collect()}
+    for r in docs[:60]:
+        raw = plain(r["text"]).encode()
+        sizes = sorted((size(raw, content), lang) for lang, content in contents.items())
+        margin = 1 - sizes[0][0] / sizes[1][0]
+        assert got[r["doc_id"]]["lang_pred"] == sizes[0][1] and abs(got[r["doc_id"]]["margin"] - margin) < 0.02
