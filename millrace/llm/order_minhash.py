@@ -395,7 +395,8 @@ def with_class(docs: DataFrame, found: str = "class_id", similarity: str | None
     labels, links = classes(docs.select("text"))
     named = rows.groupBy(digest).agg(F.min("doc_id").alias(doc_id)).join(labels.select(F.col("node").alias(digest), F.col("label").alias(label)), digest, "left")
     named = named.withColumn(label, F.coalesce(label, digest))
-    least = named.groupBy(label).agg(F.min(doc_id).alias(found))
+    named = cut(named)
+    least = cut(named.groupBy(label).agg(F.min(doc_id).alias(found)))
     named = named.join(least, label)
     if similarity:
         ends = links.select(F.col("a").alias(digest), "similarity").unionByName(links.select(F.col("b").alias(digest), "similarity"))
@@ -411,7 +412,7 @@ def first_of_each_class(docs: DataFrame) -> DataFrame:
     labels = classes(docs.select("text"))[0].select(F.col("node").alias(digest), F.col("label").alias(found))
     ids = rows.select("doc_id", digest).groupBy("doc_id", digest).agg(F.count("*").alias(rank))
     named = cut(ids.join(labels, digest, "left").withColumn(found, F.coalesce(found, digest)))
-    first = named.groupBy(found).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest)).alias("first"))
+    first = cut(named.groupBy(found).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", digest)).alias("first")))
     winners = named.join(first, found).where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(digest) == F.col(f"first.{digest}"))).select("doc_id", digest, rank)
     losers = named.join(first, found).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col(digest) == F.col(f"first.{digest}"))))
     lost_id, lost = free_name(docs, "lost_id"), free_name(docs, "lost_digest")
