@@ -120,9 +120,10 @@ def digest(text: Column) -> Column:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """Rows of (passage), each once: pieces of a long line end at white space if they can."""
+    """Rows of (passage), each once: pieces of a long line end at white space if they can. Outer explodes here and below,
+    since Spark puts a filter in front of others that makes the array once more."""
     piece = rf"[^\n]{{1,{PASSAGE}}}(?!\S)|[^\n]{{1,{PASSAGE}}}"
-    return docs.select(F.explode(F.regexp_extract_all("text", F.lit(piece), F.lit(0))).alias("passage")).distinct()
+    return docs.select(F.explode_outer(F.regexp_extract_all("text", F.lit(piece), F.lit(0))).alias("passage")).distinct().where("passage is not null")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def counted(docs: DataFrame) -> DataFrame:
     rows = passages(docs).withColumn("spans", base_spans(F.col("passage")))
     any_of = lambda x: F.concat(F.array(F.lit(None).cast("string")), x)
     rows = rows.select(any_of(entities(F.col("spans"))).alias("entities"), any_of(terms(F.col("passage"), F.col("spans"))).alias("terms"))
-    return rows.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n"))
+    return rows.select("terms", F.explode_outer("entities").alias("entity")).select("entity", F.explode_outer("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n"))
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
@@ -170,8 +171,8 @@ def _marked(found: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of (digest, term, share): the terms of each text that disclose one of its entities. Entities and terms
     meet within a text only, so that an entity of many texts doesn't meet all its terms in each."""
     chosen = _sent(chosen, F.octet_length("entity") + F.octet_length("term"))
-    held = found.select("digest", F.explode(entities(F.col("spans"))).alias("entity")).join(chosen.select("entity").distinct(), "entity", "left_semi")
-    said = found.select("digest", F.explode(terms(F.col("text"), F.col("spans"))).alias("term")).join(chosen.select("term").distinct(), "term", "left_semi")
+    held = found.select("digest", F.explode_outer(entities(F.col("spans"))).alias("entity")).join(chosen.select("entity").distinct(), "entity", "left_semi")
+    said = found.select("digest", F.explode_outer(terms(F.col("text"), F.col("spans"))).alias("term")).join(chosen.select("term").distinct(), "term", "left_semi")
     return cut(said.join(held, "digest").join(chosen, ["entity", "term"]).groupBy("digest", "term").agg(F.max("share").alias("share")))
 
 
