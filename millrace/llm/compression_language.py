@@ -30,6 +30,8 @@ LETTER = regex.compile(r"\p{L}")
 SIGNS = re.compile(r"[\W_]+")
 #: Rows of the sample that are sent to all executors at most, a language and two numbers each.
 SENT_ROWS = 100_000
+#: Groups of partitions that are ranked on their own.
+PARTS = 64
 FOUND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
 
@@ -38,8 +40,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang
     move; at most `docs_per_language` texts of each language reach the driver."""
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null and text rlike '[\\\\p{L}]'")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    kept = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
+    first, rank = Window.partitionBy("lang").orderBy("h"), F.row_number()
+    # First within groups of partitions, so that no task gets what all partitions have of one language.
+    kept = rows.select("lang", "h").distinct().withColumn("part", F.spark_partition_id() % PARTS).withColumn("n", rank.over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("n") <= docs_per_language)
+    kept = kept.select("lang", "h").withColumn("n", rank.over(first)).where(F.col("n") <= docs_per_language)
     kept = cut(kept)
     if kept.count() <= SENT_ROWS:
         kept = F.broadcast(kept)
