@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, transport_stream
+from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, source_divergence, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": main_text.query,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": compression_language.query,
     "op10_order_minhash": order_minhash.query,
     "op9_transport_stream": transport_stream.query,
+    "op11_source_divergence": source_divergence.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.ORACLE,
+    "op11_source_divergence": source_divergence.ORACLE,
 }
