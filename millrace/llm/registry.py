@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, source_divergence, transport_stream
+from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, source_divergence, spelling_variants, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": main_text.query,
@@ -20,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_order_minhash": order_minhash.query,
     "op9_transport_stream": transport_stream.query,
     "op11_source_divergence": source_divergence.query,
+    "op12_spelling_variants": spelling_variants.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.ORACLE,
     "op11_source_divergence": source_divergence.ORACLE,
+    "op12_spelling_variants": spelling_variants.ORACLE,
 }
