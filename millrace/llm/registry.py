@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, source_divergence, spelling_variants, transport_stream
+from . import bloom_sketch, compression_language, disclosure, entropy_mix, license_scan, line_crf, main_text, order_minhash, piece_codec, source_divergence, spelling_variants, suffix_tree_lm, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_main_text": main_text.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_transport_stream": transport_stream.query,
     "op11_source_divergence": source_divergence.query,
     "op12_spelling_variants": spelling_variants.query,
+    "op13_suffix_tree": suffix_tree_lm.query,
 }
 
 ORACLES: dict[str, str] = {
