@@ -6,26 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, how: str = "inner") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], strict: bool = False, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
     """Each left row with the right row of the same key that is latest at or before it (before it, if strict).
 
     Both sides go through one shuffle by key and one running window, so that neither is multiplied; among right rows
     of one time the greatest values win. `values` are the right columns that are taken. how: inner or left. A null key
-    or time matches nothing. A key's rows meet in one task, sorted, and are read once, never held.
+    or time matches nothing. Rows of a key of more than `hot_rows` rows, or of all rows if `by` is empty, are dealt to
+    ranges of time, with the latest right row carried from one range to the next; those of another key meet in one task,
+    sorted, and are read once, never held.
     """
+    from . import scans
+
     right = right.dropna("any", subset=[*by, on])
     payload = F.struct(*(F.col(v) for v in values))
     width = [c for c in left.columns if c not in by and c != on]
     rows = left.select(*by, on, F.lit(1).alias("_side"), F.struct(*(F.col(c) for c in width)).alias("_left"), F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType).alias("_right"))
     found = right.select(*by, on, F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), payload.alias("_right"))
-    side = F.desc("_side") if strict else F.asc("_side")
-    window = Window.partitionBy(*by).orderBy(F.asc(on), side, F.asc("_right")).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionByName(found).withColumn("_hit", F.last("_right", ignorenulls=True).over(window)).where("_side = 1")
+    both = rows.unionByName(found).withColumn("_turn", -F.col("_side") if strict else F.col("_side"))
+    order = [on, "_turn", "_right"]
+
+    def plain(df: DataFrame) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_hit", F.last("_right", ignorenulls=True).over(window))
+
+    def spread(df: DataFrame) -> DataFrame:
+        return scans.last_known(scans.dealt(df, by, order), by, order, "_right", "_hit").drop("_part")
+
+    out = scans.by_heat(both, by, scans.HOT_ROWS if hot_rows is None else hot_rows, plain, spread).where("_side = 1")
     if how == "inner":
         out = out.where(F.col("_hit").isNotNull())
     return out.select(*by, on, *(F.col(f"_left.{c}").alias(c) for c in width), *(F.col(f"_hit.{v}").alias(v) for v in values))
 
 
+def not_in(left: DataFrame, key: Column, right: DataFrame, other: Column) -> DataFrame:
+    """Left rows for which `key NOT IN (SELECT other FROM right)` is true, by SQL's three values: all rows if the right
+    side is empty, none if it has a null, else those with a key that it lacks. The right side is counted first; then its
+    different keys meet the left's in an anti join, so nothing is sent whole for its nulls' sake and no loop is nested."""
+    keys = right.select(other.alias("_other"))
+    n, n_known = keys.agg(F.count("*"), F.count("_other")).first()
+    if n == 0:
+        return left
+    if n > n_known:
+        return left.where(F.lit(False))
+    return left.where(key.isNotNull()).withColumn("_key", key).join(keys.distinct(), F.col("_key") == F.col("_other"), "left_anti").drop("_key")
+
+
 def within(left: DataFrame, right: DataFrame, by: list[str], left_at: Column, right_at: Column, reach: float) -> DataFrame:
     """Pairs of equal keys whose numbers differ by at most `reach`: each side falls in cells of that width, and a left
     row meets three of them, so a hot key is dealt out by cell. Columns of the two sides have different names, but for

@@ -1,6 +1,6 @@
 """All registered queries over the relational and event tables."""
 
-from . import composed, formats, relational, streams, udfs  # noqa: F401
+from . import composed, formats, relational, spread, streams, udfs  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

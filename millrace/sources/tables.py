@@ -22,3 +22,9 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return f"{context.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a reliable checkpoint in the shared folder."""
+    fresh_folder(df.sparkSession, "cut")
+    return df.checkpoint()
