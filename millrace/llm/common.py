@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +93,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """Plans that are made and run inside have their shuffle files deleted when they have run, so that a job of several
+    rounds needs the disk of one. Only for plans that run once."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a written table in the shared folder."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

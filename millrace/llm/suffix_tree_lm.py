@@ -14,7 +14,8 @@ and buckets of hashes answer, in DEPTH + 2 rounds: a chunk sends each different
 a bucket adds them up and answers what the whole corpus has. So a word or word pair that makes up a third of all tokens
 is one entry of a chunk like any other. An n-gram is asked for only if both (n-1)-grams in it have `KEPT` occurrences;
 one of the chunks that have a frequent n-gram, its owner, adds it to the sums of its context. Nothing but N and V reaches
-the driver; what is gathered grows with the different n-grams. Chunks and buckets hold a bounded number of text bytes.
+the driver; what is gathered grows with the different n-grams. Chunks and buckets hold a bounded number of text bytes,
+and shuffle files go round by round.
 
 Defined results: null and empty texts have the end only; a null doc_id learns; a long text is cut into chunks between
 words, with the words in front of each cut as its context, and is scored as one; repeated rows and ids are documents of
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, span_hashes, table
+from .common import cleaning, cut, span_hashes, table
 
 DEPTH, KEPT, DISCOUNT, GAIN, ADDED = 2, 2, 0.75, 2.0, 0.1
 #: Text bytes of a chunk, and those whose n-grams a bucket answers for.
@@ -398,11 +399,12 @@ def scored(docs: DataFrame, train: str, text: str = "text", doc_id: str = "doc_i
     data = chunks.select("chunk", "data")
     for done in range(depth + 2):
         ask = asking(done, depth, buckets, total, known)
-        if answers is None:
-            questions = data.groupBy("chunk").applyInArrow(of_stream(ask), ASKED)
-        else:
-            questions = data.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(of_stream_and_answers(ask), ASKED)
-        new = cut(questions.groupBy("bucket", "what").applyInArrow(answered, ANSWERED))
+        with cleaning(spark):
+            if answers is None:
+                questions = data.groupBy("chunk").applyInArrow(of_stream(ask), ASKED)
+            else:
+                questions = data.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(of_stream_and_answers(ask), ASKED)
+            new = cut(questions.groupBy("bucket", "what").applyInArrow(answered, ANSWERED))
         if done == 0:
             known = new.agg(F.sum("different")).first()[0] or 0
         answers = new if answers is None else answers.unionByName(new)
