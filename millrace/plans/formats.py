@@ -7,11 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import connector, formats
+from ..sources import connector, formats, lines
 from ..sources.tables import fresh_folder
 from .base import register, table
 
 
+@register("format_lines", "SELECT * FROM orders WHERE o_totalprice > 200000 AND o_orderstatus IN ('F', 'P') AND o_orderdate >= TIMESTAMP '1995-01-01'")
+def committed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders through the library's own connector, written by all tasks and read back with filters in the reader."""
+    lines.register(spark)
+    orders, path = table(spark, sf_dir, "orders"), fresh_folder(spark, "lines")
+    orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.format("millrace_lines").mode("append").save(path)
+    rows = spark.read.format("millrace_lines").schema(orders.schema).load(path)
+    return rows.where((F.col("o_totalprice") > 200000) & F.col("o_orderstatus").isin("F", "P") & (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")))
+
+
 def _round_trip(kind: str) -> None:
     @register(f"format_{kind}", "SELECT * FROM orders")
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:

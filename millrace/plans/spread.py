@@ -3,10 +3,10 @@ percentiles and inequalities."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, inequalities, joins, overlap, vectors, windows
+from ..operators import aggregates, graphs, inequalities, joins, overlap, vectors, windows
 from .base import register, table
 
 WORDS = f"regexp_extract_all(translate(text, '{overlap.UPPER}', '{overlap.LOWER}'), '{overlap.WORD}')"
@@ -101,7 +101,20 @@ def medians_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_returnflag", "l_linestatus", *(F.round(c, 6).alias(c) for c in ("price", "dear")))
 
 
-@register("dearer_before", "SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM orders a LEFT JOIN orders b ON b.o_orderdate < a.o_orderdate AND b.o_totalprice > a.o_totalprice GROUP BY a.o_orderkey")
+@register(
+    "closure_of_orders",
+    """WITH RECURSIVE e AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders),
+    t AS (SELECT a, b, CAST(1 AS BIGINT) AS depth FROM e WHERE b IS NOT NULL UNION ALL SELECT t.a, e.b, t.depth + 1 FROM t JOIN e ON e.a = t.b WHERE e.b IS NOT NULL)
+    SELECT a AS earlier, b AS later, depth FROM t""",
+)
+def closure_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders follow each other for each customer: all pairs of an order and one that comes after it."""
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("earlier"), following.alias("later"))
+    return graphs.closure(edges, "earlier", "later")
+
+
+@register("dearer_before","SELECT a.o_orderkey, count(b.o_orderkey) AS n FROM orders a LEFT JOIN orders b ON b.o_orderdate < a.o_orderdate AND b.o_totalprice > a.o_totalprice GROUP BY a.o_orderkey")
 def dearer_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order the earlier orders that cost more: orders against orders on two inequalities."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("at"), "o_totalprice")

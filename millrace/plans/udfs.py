@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from .base import register, table
 
 
@@ -44,7 +45,14 @@ def aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("p_brand").agg(F.pandas_udf(spread, "int")("p_size").alias("spread"))
 
 
-@register("udf_groups", "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS place FROM orders")
+@register("udf_two_phase", "SELECT l_returnflag, l_linestatus, round(CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS total FROM lineitem GROUP BY ALL")
+def two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sum of doubles that is rounded once: partial states in the tasks, merged by key."""
+    found = folds.folded(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", folds.ExactSum(), "total")
+    return found.withColumn("total", F.round("total", 2))
+
+
+@register("udf_groups","SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS place FROM orders")
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group is one customer's orders, which do not grow with the table."""
 
