@@ -7,13 +7,13 @@ if it is short or a quarter of its text is in links. Every paragraph then passes
 for each hundred characters up to three) to its parent, half as many to the next ancestor and fewer to the further
 ones, `LEVELS` in all; a container's points are discounted by the share of its text in links, and count twice for
 article and main elements. The best container (the last one in page order of equals, or the article or main element
-around it) is kept whole, with those of its siblings that score a fifth of it or are long paragraphs with few links.
+around it) is kept, with those of its siblings that score a fifth of it or are long paragraphs with few links; inside
+these, containers of `LINK_BLOCKS` blocks with links or more and `LINK_LIST` of their text in links are left out.
 
 Defined results: null or empty pages, and pages without text, give an empty text; character references are decoded;
 white space within a block becomes one space; blocks are joined by two line feeds in page order, repeated ones too;
 markup that is cut off or badly nested ends what it must; tags without an end are dropped; a quote without an end is
-no quote, and a tag's quotes are looked for within `TAG_CHARS` characters; a button, picture or the like without an end
-ends at the next block; pages of any length are read whole; equal pages give equal texts; an empty table gives no rows;
+no quote, and a tag may be of any length; a button, picture or the like without an end ends at the next block; pages of any length are read whole; equal pages give equal texts; an empty table gives no rows;
 other columns are kept.
 """
 
@@ -50,15 +50,16 @@ DOUBTFUL = frozenset("side rail foot header alert warning share sharing social r
 PLAIN = frozenset("a an and the of by on in for to box block wrapper wrap container content section area bar list links link item items inner outer top bottom left right center main primary secondary site page global web app col column row grid panel group unit slot zone space module component form field button buttons btn icon icons text title heading label body message msg policy law count more post posts article story entry blog user users reader readers thread new latest small large fixed sticky mobile desktop js css wp".split())
 #: Characters that a doubtful element has at least if it is kept, and the share of links that it doesn't reach.
 LEAST_CHARS, MOST_LINKS = 200, 0.25
-TAG_CHARS = 1 << 16
+#: The share of links, and the blocks with links, from which on a container inside the main text is a list of links.
+LINK_LIST, LINK_BLOCKS = 0.5, 3
 KEPT = frozenset({"html", "body", "article", "main"})
-#: Elements that count twice as much as other containers, and are kept whole.
+#: Elements that count twice as much as other containers, and are kept but for lists of links.
 MAIN = frozenset({"article", "main"})
 #: Ancestors that a paragraph passes points to.
 LEVELS = 6
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
-REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
+SIGN = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?<![^\s/"'])([a-zA-Z-]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 #: What an open element is ended by, besides its own end tag.
 ENDS = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "th": {"td", "th", "tr", "tbody", "thead", "tfoot"}}
@@ -105,6 +106,7 @@ class Page:
         self.parts: list[str] = []
         self.linked = 0
         self.silent = False  # in an element within lines that has no end
+        self.endless: set[int] = set()  # places outside of quotes from which no tag ends
         self.read(source)
 
     def flush(self) -> None:
@@ -198,10 +200,8 @@ class Page:
                     at = lt + 1
                 continue
             tag = m[0].lower()
-            rest = REST.match(s, m.end(), m.end() + TAG_CHARS)
-            if rest:
-                end = rest.end() - 1
-            else:  # a quote without an end: the first end of a tag counts
+            end = self.tag_end(s, m.end())
+            if end < 0:  # a quote without an end: the first end of a tag counts
                 end = s.find(">", m.end())
                 if end < 0:
                     break
@@ -236,20 +236,38 @@ class Page:
                 self.open(tag, s[m.end() : end])
         self.flush()
 
+    def tag_end(self, s: str, at: int) -> int:
+        """The first `>` behind `at` outside of quotes, -1 if there is none. Places from which none is found are kept, so
+        that all tags of a page together are read through once."""
+        passed = []
+        while at not in self.endless:
+            sign = SIGN.search(s, at)
+            if sign and sign[0] == ">":
+                return sign.start()
+            passed.append(at)
+            close = s.find(sign[0], sign.end()) if sign else -1
+            if close < 0:
+                break
+            at = close + 1
+        self.endless.update(passed)
+        return -1
+
     def main(self) -> list[str]:
         """The blocks of the best container and of the siblings that are kept, in page order."""
         if not self.blocks:
             return []
         n = len(self.tags)
-        points, chars, linked, out = [0.0] * n, [0] * n, [0] * n, [False] * n
+        points, chars, linked, listed, out = [0.0] * n, [0] * n, [0] * n, [0] * n, [False] * n
         for node, text, links in self.blocks:
             chars[node] += len(text)
             linked[node] += links
+            listed[node] += links > 0
         for k in range(n - 1, 0, -1):  # an element stands behind its parent
             out[k] = self.doubtful[k] and (chars[k] < LEAST_CHARS or linked[k] >= MOST_LINKS * chars[k])
             if not out[k]:
                 chars[self.parents[k]] += chars[k]
                 linked[self.parents[k]] += linked[k]
+                listed[self.parents[k]] += listed[k]
         for k in range(1, n):
             out[k] = out[k] or out[self.parents[k]]
         for node, text, _ in self.blocks:
@@ -278,7 +296,8 @@ class Page:
                     keep.add(k)
         inside = [False] * n
         for k in range(n):
-            inside[k] = (k in keep or self.parents[k] >= 0 and inside[self.parents[k]]) and not out[k]
+            links = self.tags[k] not in PARAGRAPHS and listed[k] >= LINK_BLOCKS and density[k] >= LINK_LIST
+            inside[k] = (k in keep or self.parents[k] >= 0 and inside[self.parents[k]] and not links) and not out[k]
         return [text for node, text, _ in self.blocks if inside[node]]
 
 

@@ -78,3 +78,28 @@ def test_tables(spark):
     pages = spark.createDataFrame([(1, None, "z"), (1, "<p>x, y</p>", "z"), (None, "<p>x, y</p>", None)], "page_id bigint, html string, text string")
     assert [r["text"] for r in main_text.main_text(pages).collect()] == ["", "x, y", "x, y"]
     assert main_text.main_text(pages.limit(0)).collect() == []
+
+
+STORY = "<div class=story>" + "<p>A long sentence of the story, with commas, and with more of them, so that it counts as text.</p>" * 6 + "</div>"
+
+
+def test_link_lists_inside_article_and_main_are_left_out():
+    items = "".join(f"<li><a href=/{k}>Another story number {k}</a></li>" for k in range(20))
+    for tag in ("main", "article", "div"):
+        for links in (f"<div class=xq7><ul>{items}</ul></div>", f"<ul>{items}</ul>", f"<section>{items}</section>", "<table>" + "".join(f"<tr><td><a href=/{k}>Row {k}</a></td></tr>" for k in range(9)) + "</table>"):
+            text = main_text.extract(f"<body><{tag}>{links}{STORY}{links}</{tag}></body>")
+            assert text.count("A long sentence") == 6 and "Another story" not in text and "Row" not in text
+    kept = main_text.extract(f"<main><div><h1><a href=/>The title</a></h1></div>{STORY}<ul><li>Plain words of a list that has no links at all</li><li>and <a href=/>one</a> link</li><li>and more</li></ul><div><p>See <a href=/>this</a></p></div></main>")
+    assert all(x in kept for x in ("The title", "Plain words", "and one link", "See this"))
+
+
+def test_tags_of_any_length_and_quotes_without_end():
+    import time
+
+    for size in (1_000, 70_000, 300_000):
+        text = main_text.extract(f"""<main><img alt='a > b' src="data:{'x' * size}"><p title="c > d">Seen, and read.</p></main>""")
+        assert text == "Seen, and read."
+    began = time.perf_counter()
+    for mark in ("\"", "'", "\"'", "'\""):
+        main_text.extract("<p>" + f"<b x={mark}>word " * 30_000 + "end</p>")  # in time that grows with the page
+    assert time.perf_counter() - began < 20
