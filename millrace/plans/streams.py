@@ -86,3 +86,10 @@ def timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, close = _closing(spark, sf_dir)
     counts = operators.idle_counts(operators.timed(events).where("user_id is not null or event_id is null"), "user_id", "ts", 500)
     return runs.drained(counts, close=close, rocks=True).where("user_id is not null").select("user_id", "n", F.col("last").cast("timestamp_ntz").alias("last"))
+
+
+@register("stream_map_state", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type")
+def map_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by user and type in a map for each user, whose entries end a day after their last row."""
+    counts = runs.drained(operators.kind_counts(_events(spark, sf_dir), "user_id", "event_type", 24), "update", rocks=True, quiet=True)
+    return counts.groupBy("user_id", "event_type").agg(F.max("n").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -82,3 +82,41 @@ def idle_counts(stream: DataFrame, key: str, at: str, days: int) -> DataFrame:
     and RocksDB state."""
     rows = stream.select(key, at).groupBy(key)
     return rows.transformWithStateInPandas(Idle(key, at, days), f"{key} bigint, n bigint, last timestamp", "append", "EventTime")
+
+
+class Kinds(StatefulProcessor):
+    """Counts the rows of each kind of a key in a map; a kind that none has come of for a while is forgotten."""
+
+    def __init__(self, key: str, kind: str, millis: int) -> None:
+        self.key, self.kind, self.millis = key, kind, millis
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", f"{self.kind} string", "n bigint", self.millis)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        new: dict[str, int] = {}
+        for part in rows:
+            for kind, n in part[self.kind].value_counts().items():
+                new[kind] = new.get(kind, 0) + int(n)
+        for kind, n in new.items():
+            if self.seen.containsKey((kind,)):
+                n += self.seen.getValue((kind,))[0]
+            self.seen.updateValue((kind,), (n,))
+            new[kind] = n
+        yield pd.DataFrame({self.key: [key[0]] * len(new), self.kind: list(new), "n": list(new.values())})
+
+    def close(self) -> None:
+        pass
+
+
+def kind_counts(stream: DataFrame, key: str, kind: str, hours: float) -> DataFrame:
+    """(key, kind, n): the rows so far of each kind of a key, given for the kinds that a batch has. A kind's entry lives for
+    `hours` of processing time after its last row, so that state is bounded by what came in that time. Null kinds don't
+    count. Needs RocksDB state; `state_of` reads it."""
+    rows = stream.select(key, kind).groupBy(key)
+    return rows.transformWithStateInPandas(Kinds(key, kind, int(hours * 3_600_000)), f"{key} bigint, {kind} string, n bigint", "update", "ProcessingTime")
+
+
+def state_of(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """The entries of a named state as the last batch has left them, by the state data source."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()

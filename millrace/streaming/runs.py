@@ -11,6 +11,7 @@ from ..sources.tables import fresh_folder
 
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,10 +34,11 @@ def closing(spark: SparkSession, path: str, at: str) -> tuple[DataFrame, Callabl
     return source(spark, path).union(spark.readStream.schema(rows.schema).parquet(folder)), lambda: last.select(*blank).write.mode("append").parquet(folder)
 
 
-def drained(stream: DataFrame, mode: str = "append", close: Callable[[], None] | None = None, rocks: bool = False, **options: str) -> DataFrame:
+def drained(stream: DataFrame, mode: str = "append", close: Callable[[], None] | None = None, rocks: bool = False, quiet: bool = False, **options: str) -> DataFrame:
     """What the stream has given once all input is read: all batches in append mode, the last one in complete mode.
     `close` is called when all is read, and what it adds is read by going on from the checkpoint. Each batch is written
-    under its number, so that a batch which runs again replaces itself. rocks: state is kept by RocksDB."""
+    under its number, so that a batch which runs again replaces itself. rocks: state is kept by RocksDB. quiet: no batch
+    runs without new rows, as state with processing times would ask for without end."""
     spark = stream.sparkSession
     provider = spark.conf.get(PROVIDER)
     out, state = fresh_folder(spark, "stream"), fresh_folder(spark, "state")
@@ -50,11 +52,14 @@ def drained(stream: DataFrame, mode: str = "append", close: Callable[[], None] |
         if before:
             before()
         spark.conf.set(PROVIDER, ROCKS if rocks else provider)
+        idle = spark.conf.get(IDLE)
+        spark.conf.set(IDLE, "false" if quiet else idle)
         try:
             query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", state).options(**options).trigger(availableNow=True).start()
+            query.awaitTermination()
         finally:
             spark.conf.set(PROVIDER, provider)
-        query.awaitTermination()
+            spark.conf.set(IDLE, idle)
     if not last:
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
