@@ -7,21 +7,25 @@ passage, which is a line, or a piece of up to `PASSAGE` characters of a longer o
 copies change nothing. The pointwise mutual information of entity and term, by the entity's own information, is the
 share of the entity that the term discloses (1: the term occurs with it only). Terms that do so in at least `SUPPORT`
 passages are generalised from a share of `GENERALISE` on and removed from `REMOVE` on, wherever they stand in a text
-that has the value, class or kind. Terms have `SHORTEST` characters at least.
+that has the value, class or kind. Terms have `SHORTEST` characters at least. A pair must also be no chance: the
+probability that the term's passages meet those of the entity so often if they were drawn at random, times the number of
+pairs of frequent entities and terms, is at most `CHANCE`. An entity of many passages so asks for more support.
 
 Only DataFrame functions are used. One aggregation counts passages, terms, entities and their pairs.
 
 The patterns are written so that a search never starts twice in one run of characters: a match begins where the run
-begins or where the last match ended, which finds the same as trying each place.
+begins or where the last match ended, which finds the same as trying each place. Places of n matches take log n passes
+over an array of them, and a sanitised text is joined from pieces once.
 
 Defined results: null counts as empty; texts of any length are searched whole; matches of one kind don't overlap, of
 different kinds they may, and both are kept; overlapping spans are replaced as one; an entity that all passages have has
-no information, so no term discloses it; without entities or repeated passages no terms are added; equal texts, and so
+no information, so no term discloses it; a term with too little evidence is left; without entities or repeated passages no terms are added; equal texts, and so
 repeated rows and ids, get equal spans; there is nothing to tie; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,21 +45,39 @@ HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 WORD = r"[\p{L}\p{N}]+"
 PASSAGE, SUPPORT, GENERALISE, REMOVE, SHORTEST = 1000, 3, 0.5, 0.8, 3
+#: Pairs of entity and term that chance alone may make in a whole corpus, as expected.
+CHANCE = 0.01
 #: Bytes that are sent to all executors at most; more are joined by shuffle.
 SENT_BYTES = 4 << 20
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is made once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What `join` makes of each value and all before it. The reach of a value doubles with each pass, so that an array
+    of n values takes log n passes."""
+
+    def passes(v: Column) -> Column:
+        back = lambda k: F.call_function("shiftleft", F.lit(1), k)
+        step = lambda acc, k: F.transform(acc, lambda x, i: F.when(i < back(k), x).otherwise(join(F.get(acc, i - back(k)), x)))
+        return F.aggregate(F.sequence(F.lit(0), F.char_length(F.bin(F.size(v))) - 1), v, step)
+
+    return let(values, passes)
+
+
 def placed(text: Column, pattern: str, kind: str) -> Column:
     """All matches with their places in code points: what stands between them gives the distances."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(between.alias("gap"), found.alias("value"))
-    at = lambda acc: acc["at"]
-    step = lambda acc, x: F.struct(
-        (at(acc) + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["value"]), F.lit(0))).cast("bigint").alias("at"),
-        F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (at(acc) + F.char_length(x["gap"])).cast("bigint").alias("start"), (at(acc) + F.char_length(x["gap"]) + F.char_length(x["value"])).cast("bigint").alias("end"), x["value"].alias("value"))))).alias("out"),
-    )
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def spans(found: Column) -> Column:
+        lengths = F.transform(F.arrays_zip(between.alias("gap"), found.alias("value")), lambda x: (F.char_length(x["gap"]) + F.coalesce(F.char_length(x["value"]), F.lit(0))).cast("bigint"))
+        span = lambda end, value: F.struct(F.lit(kind).alias("kind"), (end - F.char_length(value)).alias("start"), end.alias("end"), value.alias("value"))
+        return let(running(lengths, lambda x, y: x + y), lambda ends: F.transform(found, lambda value, i: span(F.get(ends, i), value)))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans).cast(SPAN)
 
 
 def digits(value: Column) -> Column:
@@ -103,9 +125,18 @@ def entities(spans: Column) -> Column:
 
 
 def replaced(text: Column, marks: Column) -> Column:
-    """The text with marks, array<struct<start, end, by>> in order, put in place; overlapping ones are replaced as one."""
-    step = lambda acc, m: F.when(m["end"] <= acc["at"], acc).otherwise(F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(m["start"] - acc["at"], F.lit(0)).cast("int")), F.when(m["start"] >= acc["at"], m["by"]).otherwise("")).alias("out")))
-    return F.aggregate(marks, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.char_length(text))))
+    """The text with marks, array<struct<start, end, by>> in order, put in place; overlapping ones are replaced as one.
+    Parts are taken from pieces of `PASSAGE` characters, so that a mark doesn't read the text from its start."""
+
+    def put(pieces: Column, marks: Column, ends: Column) -> Column:
+        part = lambda a, n: F.substr(F.array_join(F.slice(pieces, (F.floor(a / PASSAGE) + 1).cast("int"), (F.floor(n / PASSAGE) + 2).cast("int")), ""), (a % PASSAGE + 1).cast("int"), n.cast("int"))
+        at = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0).cast("bigint"))
+        mark = lambda m, i: F.when(m["end"] <= at(i), "").when(m["start"] < at(i), "").otherwise(F.concat(part(at(i), m["start"] - at(i)), m["by"]))
+        last = at(F.size(marks))
+        return F.array_join(F.concat(F.transform(marks, mark), F.array(part(last, F.char_length(text) - last))), "")
+
+    furthest = lambda m: running(F.transform(m, lambda x: x["end"]), F.greatest)
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0)), lambda pieces: let(marks, lambda m: let(furthest(m), lambda ends: put(pieces, m, ends))))
 
 
 def terms(text: Column, spans: Column) -> Column:
@@ -134,17 +165,27 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.select("terms", F.explode_outer("entities").alias("entity")).select("entity", F.explode_outer("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n"))
 
 
+def log_choose(n: Column, k: Column) -> Column:
+    """The logarithm of n over k, by Stirling's series."""
+    log_factorial = lambda x: F.when(x < 2, 0.0).otherwise((x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x))
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
 def disclosing(docs: DataFrame) -> DataFrame:
     """Rows of (entity, term, share): terms that disclose an entity. docs: text."""
     counts = cut(counted(docs.select("text")).where(F.col("entity").isNull() | F.col("term").isNull() | (F.col("n") >= SUPPORT)))
-    total = counts.where("entity is null and term is null").select("n").first()
-    total = float(total[0] if total else 0)
+    entity, term, often = F.col("entity"), F.col("term"), F.col("n") >= SUPPORT
+    total, n_entities, n_terms = counts.agg(F.sum(F.when(entity.isNull() & term.isNull(), F.col("n"))), F.count_if(entity.isNotNull() & term.isNull() & often), F.count_if(entity.isNull() & term.isNotNull() & often)).first()
+    total = float(total or 0)
     by_term = counts.where("entity is null and term is not null").select("term", F.col("n").alias("n_term"))
     by_entity = counts.where("term is null and entity is not null").select("entity", F.col("n").alias("n_entity")).where(F.col("n_entity") < total)
     rows = counts.where("entity is not null and term is not null").join(by_entity, "entity").join(by_term, "term")
     # Where n_entity is total, this is not asked for.
     share = F.when(F.col("n_entity") < total, F.log(F.lit(total) * F.col("n") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(total) / F.col("n_entity")))
-    return cut(rows.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    rows = rows.withColumn("share", share).where(F.col("share") >= GENERALISE)
+    n, n_entity, n_term = (F.col(c).cast("double") for c in ("n", "n_entity", "n_term"))
+    by_chance = log_choose(n_entity, n) + log_choose(total - n_entity, n_term - n) - log_choose(F.lit(total), n_term)
+    return cut(rows.where(by_chance <= math.log(CHANCE) - math.log(max(1, n_entities * n_terms))).select("entity", "term", "share"))
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -181,8 +222,11 @@ def added_spans(docs: DataFrame) -> DataFrame:
     found = _found(docs)
     marked = _marked(found, disclosing(docs))
     texts = found.join(marked.select("digest").distinct(), "digest", "left_semi")
-    chosen = _words(texts).join(marked, ["digest", "term"]).join(texts.select("digest", "spans"), "digest")
-    chosen = chosen.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"])))
+    words = _words(texts).join(marked, ["digest", "term"]).select("digest", "start", "end", "term", "share", (F.col("end") - 1).alias("place"))
+    spans = texts.select("digest", F.explode_outer("spans").alias("s")).select("digest", "s.start", "s.end", F.col("s.start").alias("place"))
+    # A word lies in a span if one that begins before the word's end ends behind its start.
+    reach = F.max(F.when(F.col("term").isNull(), F.col("end"))).over(Window.partitionBy("digest").orderBy("place", F.col("term").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = words.unionByName(spans, allowMissingColumns=True).withColumn("reach", reach).where(F.col("term").isNotNull() & (F.coalesce("reach", F.lit(0)) <= F.col("start")))
     return cut(chosen.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "term", "share"))).alias("added")))
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -113,9 +114,35 @@ def test_an_entity_of_all_texts_has_no_information(spark):
 def test_passages_with_an_entity_alone_count(spark):
     near = [f"zorblat {w} jane@corp.example" for w in ("one", "two", "three")]
     alone = [f"jane@corp.example {k}\n{k} {k}" for k in range(10, 16)]
-    # Passages: 3 near, 12 of those alone, 11 plain. n_pair 3 of n_entity 9, n_term 3 + 1, total 26.
-    plain = ["zorblat"] + [f"plain {k}" for k in range(10)]
-    assert added(spark, near + alone + plain)[near[0]] == [("zorblat", round(math.log(26 * 3 / 36) / math.log(26 / 9), 9))]
+    # Passages: 3 near, 12 of those alone, 501 plain. n_pair 3 of n_entity 9, n_term 3 + 1, total 516.
+    plain = ["zorblat"] + [f"plain {k}" for k in range(500)]
+    assert added(spark, near + alone + plain)[near[0]] == [("zorblat", round(math.log(516 * 3 / 36) / math.log(516 / 9), 9))]
+    assert not added(spark, near + alone + plain[:11])[near[0]]  # of 26 passages: once in eleven tables by chance
+
+
+def test_words_that_stand_beside_addresses_by_chance_are_left(spark):
+    """Addresses put to lines of the given table by a hash disclose nothing."""
+    lines = sorted({line for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect() for line in (r["text"] or "").split("\n") if line and not brute(line)})
+    texts = [f"{line} {k % 50}@corp.example" if zlib.crc32(line.encode()) % 60 == 0 else line for k, line in enumerate(lines)]
+    assert sum("@corp.example" in t for t in texts) > 500
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert disclosure.disclosing(docs).collect() == []
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "".join(f"é user{k}@host{k % 7}.example, 10.{k % 256}.0.1 zorblat\n" for k in range(100_000))
+    docs = spark.createDataFrame([(text,), *((f"plain {k}",) for k in range(20_000))], "text string")
+    row = disclosure.with_spans(docs).where("size(spans) > 0").collect()
+    assert len(row) == 1 and [(s["kind"], s["start"], s["end"]) for s in row[0]["spans"]] == brute(text)
+    assert [(a["start"], a["end"]) for a in row[0]["added"] if a["term"] == "zorblat"] == [m.span() for m in re.finditer("zorblat", text)]
+    got = disclosure.sanitise(docs).where("text like '%EMAIL%'").collect()
+    assert [r["text"] for r in got] == ["é [EMAIL], [IP] \n" * 100_000]
+
+
+def chance(m, n_entity, n_term, n):
+    """The probability that of n_term of n passages m are among n_entity."""
+    log_choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    return math.exp(log_choose(n_entity, m) + log_choose(n - n_entity, n_term - m) - log_choose(n, n_term))
 
 
 def expected(texts):
@@ -134,8 +161,9 @@ def expected(texts):
         n_entity.update(keys)
         n_pair.update((k, w) for k in keys for w in words)
     n, out = len(units), {}
+    tests = sum(m >= disclosure.SUPPORT for m in n_term.values()) * sum(m >= disclosure.SUPPORT for m in n_entity.values())
     for (k, w), m in n_pair.items():
-        if m >= disclosure.SUPPORT and n_entity[k] < n and (share := math.log(n * m / (n_entity[k] * n_term[w])) / math.log(n / n_entity[k])) >= disclosure.GENERALISE:
+        if m >= disclosure.SUPPORT and n_entity[k] < n and chance(m, n_entity[k], n_term[w], n) * tests <= disclosure.CHANCE and (share := math.log(n * m / (n_entity[k] * n_term[w])) / math.log(n / n_entity[k])) >= disclosure.GENERALISE:
             out[k, w] = round(share, 9)
     return out
 
