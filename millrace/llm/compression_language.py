@@ -5,12 +5,14 @@ case and with one space for each run of other signs than letters and digits, is
 in blocks, so that the dictionary counts as much at the end of a long text as at its start. The choice is rejected
 where the margin to the second smallest is narrow.
 
-Learning takes, for each language, the `DOCS_PER_LANGUAGE` different labelled texts with the smallest hash, whole: this
-bound on rows is the only sample; every text is classified, and whole.
+Learning takes, for each language, the `DOCS_PER_LANGUAGE` different labelled texts with the smallest hash, whole, as
+long as they have `BYTES_PER_LANGUAGE` bytes together; texts of more than an even part of these bytes come last. These
+bounds on rows and bytes are the only sample; every text is classified, and whole.
 
 Defined results: a text that is null or has no letter (Unicode's categories L) is `und` with score 0 and rejected, and
 so is every text if no language was learned; a tie goes to the language first in order; with one language learned the
-score is 1; very long texts are compressed as one; rows with a null language teach nothing; repeated rows teach once;
+score is 1; very long texts are compressed as one; a language whose every text is over `BYTES_PER_LANGUAGE` isn't
+learned; rows with a null language teach nothing; repeated rows teach once;
 an empty table gives no rows; other columns are kept as they are.
 """
 
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import arrow_column, cut, free_name, held_out, table
 
 DOCS_PER_LANGUAGE, LEVEL, NARROW, BLOCK_BYTES = 64, 6, 0.01, 4096
+#: Bytes of UTF-8 that are learned from for each language.
+BYTES_PER_LANGUAGE = 4 << 20
 LETTER = regex.compile(r"\p{L}")
 SIGNS = re.compile(r"[\W_]+")
 #: Rows of the sample that are sent to all executors at most, a language and two numbers each.
@@ -35,15 +39,17 @@ PARTS = 64
 FOUND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, bytes]:
-    """Raw dictionary content by language. Hashes are ranked first, so that only the sample's texts
-    move; at most `docs_per_language` texts of each language reach the driver."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE, bytes_per_language: int = BYTES_PER_LANGUAGE) -> dict[str, bytes]:
+    """Raw dictionary content by language. Hashes are ranked first, so that only the sample's texts move; at most
+    `docs_per_language` texts and `bytes_per_language` bytes of each language reach the driver."""
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null and text rlike '[\\\\p{L}]'")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    first, rank = Window.partitionBy("lang").orderBy("h"), F.row_number()
+    order = [F.col("bytes") > bytes_per_language // docs_per_language, F.col("h")]
+    ranked = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("n") <= docs_per_language)
+    sizes = rows.select("lang", "h", F.octet_length("text").cast("bigint").alias("bytes")).where(F.col("bytes") <= bytes_per_language)
     # First within groups of partitions, so that no task gets what all partitions have of one language.
-    kept = rows.select("lang", "h").distinct().withColumn("part", F.spark_partition_id() % PARTS).withColumn("n", rank.over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("n") <= docs_per_language)
-    kept = kept.select("lang", "h").withColumn("n", rank.over(first)).where(F.col("n") <= docs_per_language)
+    kept = ranked(ranked(sizes.distinct().withColumn("part", F.spark_partition_id() % PARTS), "lang", "part").drop("part"), "lang")
+    kept = kept.withColumn("sum", F.sum("bytes").over(Window.partitionBy("lang").orderBy("n"))).where(F.col("sum") <= bytes_per_language).select("lang", "h", "n")
     kept = cut(kept)
     if kept.count() <= SENT_ROWS:
         kept = F.broadcast(kept)

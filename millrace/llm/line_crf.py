@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, held_out, span_hashes, table
+from .common import arrow_column, cut, held_out, span_hashes, table
 
-DOCS_PER_LABEL, THRESHOLD = 2500, 0.7
+DOCS_PER_LABEL, LINES_PER_LABEL, THRESHOLD = 2500, 250_000, 0.7
 
 #: Classes of bytes.
 UPPER, LOWER, DIGIT, BLANK, SIGN, PIPE, BANG, POINT, HIGH, OTHER, N_CLASSES = range(11)
@@ -213,9 +213,10 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["h", "good", "bins", "length"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LABEL, lines_per_label: int = LINES_PER_LABEL) -> Model:
     """`docs` has doc_id and text, `labels` doc_id and quality (1 good, 0 bad; others teach nothing). A document with
-    several labels counts as good if all are. What reaches the driver is bounded by `docs_per_label`."""
+    several labels counts as good if all are. What reaches the driver is bounded by `docs_per_label` and
+    `lines_per_label`: the sample's lines stay in executors until the documents that fit are chosen by their sizes."""
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
     marked = marked.withColumn("h", F.xxhash64("doc_id"))
     counts = {r["good"]: r["count"] for r in marked.groupBy("good").count().collect()}
@@ -224,7 +225,16 @@ def learn(docs: DataFrame, labels: DataFrame, docs_per_label: int = DOCS_PER_LAB
     chosen = first[0].unionByName(first[1])
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # three numbers for each sampled one
     texts = texts.groupBy("doc_id", "good", "h").agg(F.min_by("text", F.md5("text")).alias("text"))
-    rows = texts.select("h", "good", "text").mapInArrow(_sampled, "h bigint, good int, bins binary, length array<bigint>").collect()
+    found = cut(texts.select("h", "good", "text").mapInArrow(_sampled, "h bigint, good int, bins binary, length array<bigint>"))
+    left, over = [lines_per_label] * 2, []
+    for r in found.groupBy("h", "good").agg(F.sum(F.size("length")).alias("n")).orderBy("h").collect():
+        if r["n"] <= left[r["good"]]:
+            left[r["good"]] -= r["n"]
+        else:
+            over.append((r["h"], r["good"]))
+    if over:  # sampled documents at most
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(over, "h bigint, good int")), ["h", "good"], "left_anti")
+    rows = found.select("h", "good", "bins", "length").collect()
     rows.sort(key=lambda r: (r["h"], bytes(r["bins"])))
     y = np.array([r["good"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:

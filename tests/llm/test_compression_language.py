@@ -40,6 +40,16 @@ def test_letters_are_those_of_unicode(spark):
     assert list(cl.learn(docs)) == ["yes"]
 
 
+def test_bytes_of_the_sample_are_bounded(spark):
+    texts = [("xx", f"kort tekst {k}") for k in range(8)] + [("xx", "lang " * 30_000), ("yy", "bred " * 30_000), ("zz", "stor " * 300_000)]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    got = cl.learn(docs, docs_per_language=10, bytes_per_language=200_000)
+    assert sorted(got) == ["xx", "yy"] and max(map(len, got.values())) <= 200_000
+    assert b"lang lang" in got["xx"] and all(f"tekst {k}".encode() in got["xx"] for k in range(8))
+    assert b"lang lang" not in cl.learn(docs, docs_per_language=10, bytes_per_language=150_010)["xx"]  # the long one comes last
+    assert all(f"tekst {k}".encode() in cl.learn(docs, docs_per_language=10, bytes_per_language=150_010)["xx"] for k in range(8))
+
+
 def test_odd_texts():
     contents = {"aa": b"ana bana kana", "oo": b"ono bono kono"}
     assert cl.classify(None, contents)[0] == cl.classify("", contents)[0] == cl.classify(" 1,2! ", contents)[0] == "und"

@@ -116,3 +116,13 @@ def test_of_repeated_ids_one_text_teaches(spark):
     more = docs.unionByName(docs.limit(5)).unionByName(docs.where("doc_id = 7").crossJoin(spark.range(300)).drop("id"))
     one, two = line_crf.learn(docs, labels), line_crf.learn(more, labels)
     assert np.allclose(one.weights, two.weights) and np.allclose(one.curve, two.curve)
+
+
+def test_lines_of_the_sample_are_bounded(spark):
+    docs, labels = made(spark, 60)
+    plain = line_crf.learn(docs, labels)
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(k, "one line\n" * 200_000) for k in (10_000, 10_001)], "doc_id bigint, text string"))
+    marked = labels.select("doc_id", "quality").unionByName(spark.createDataFrame([(10_000, 0), (10_001, 1)], "doc_id bigint, quality int"))
+    bounded = line_crf.learn(more, marked, lines_per_label=100_000)
+    assert np.allclose(plain.weights, bounded.weights)
+    assert plain.prior == 40 / 60 and bounded.prior == 41 / 62  # rates are of all labels, the sample's or not
