@@ -9,7 +9,9 @@ share of the entity that the term discloses (1: the term occurs with it only). T
 passages are generalised from a share of `GENERALISE` on and removed from `REMOVE` on, wherever they stand in a text
 that has the value, class or kind. Terms have `SHORTEST` characters at least. A pair must also be no chance: the
 probability that the term's passages meet those of the entity so often if they were drawn at random, times the number of
-pairs of frequent entities and terms, is at most `CHANCE`. An entity of many passages so asks for more support.
+pairs of frequent entities and terms, is at most `CHANCE`. An entity of many passages so asks for more support. For a
+kind, a value that meets the term in `SUPPORT` passages or more counts once, so that the near copies of one passage
+don't make its words signs of the kind.
 
 Only DataFrame functions are used. One aggregation counts passages, terms, entities and their pairs.
 
@@ -179,7 +181,10 @@ def disclosing(docs: DataFrame) -> DataFrame:
     total = float(total or 0)
     by_term = counts.where("entity is null and term is not null").select("term", F.col("n").alias("n_term"))
     by_entity = counts.where("term is null and entity is not null").select("entity", F.col("n").alias("n_entity")).where(F.col("n_entity") < total)
-    rows = counts.where("entity is not null and term is not null").join(by_entity, "entity").join(by_term, "term")
+    pairs = counts.where("entity is not null and term is not null")
+    again = pairs.where(F.instr("entity", ":") > 0).groupBy(F.substring_index("entity", ":", 1).alias("entity"), "term").agg(F.sum(F.col("n") - 1).alias("again"))
+    pairs = pairs.join(again, ["entity", "term"], "left").withColumn("n", F.col("n") - F.coalesce("again", F.lit(0))).where(F.col("n") >= SUPPORT)
+    rows = pairs.join(by_entity, "entity").join(by_term, "term")
     # Where n_entity is total, this is not asked for.
     share = F.when(F.col("n_entity") < total, F.log(F.lit(total) * F.col("n") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(total) / F.col("n_entity")))
     rows = rows.withColumn("share", share).where(F.col("share") >= GENERALISE)

@@ -120,6 +120,14 @@ def test_passages_with_an_entity_alone_count(spark):
     assert not added(spark, near + alone + plain[:11])[near[0]]  # of 26 passages: once in eleven tables by chance
 
 
+def test_near_copies_with_one_value_are_no_sign_of_its_kind(spark):
+    near = [f"zorblat {k} glimmer jane@corp.example" for k in range(30)]
+    several = [f"token {k} k{k}@host{k}.example" for k in range(30)]
+    docs = spark.createDataFrame([(t,) for t in [*near, *several, *(f"plain {k}" for k in range(3000))]], "text string")
+    got = {(r["entity"], r["term"]) for r in disclosure.disclosing(docs).collect()}
+    assert {("email:jane@corp.example", "zorblat"), ("email", "token")} <= got and ("email", "zorblat") not in got
+
+
 def test_words_that_stand_beside_addresses_by_chance_are_left(spark):
     """Addresses put to lines of the given table by a hash disclose nothing."""
     lines = sorted({line for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect() for line in (r["text"] or "").split("\n") if line and not brute(line)})
@@ -161,8 +169,13 @@ def expected(texts):
         n_entity.update(keys)
         n_pair.update((k, w) for k in keys for w in words)
     n, out = len(units), {}
+    again = Counter()
+    for (k, w), m in n_pair.items():
+        if ":" in k and m >= disclosure.SUPPORT:
+            again[k.split(":")[0], w] += m - 1
     tests = sum(m >= disclosure.SUPPORT for m in n_term.values()) * sum(m >= disclosure.SUPPORT for m in n_entity.values())
     for (k, w), m in n_pair.items():
+        m -= again[k, w]
         if m >= disclosure.SUPPORT and n_entity[k] < n and chance(m, n_entity[k], n_term[w], n) * tests <= disclosure.CHANCE and (share := math.log(n * m / (n_entity[k] * n_term[w])) / math.log(n / n_entity[k])) >= disclosure.GENERALISE:
             out[k, w] = round(share, 9)
     return out
