@@ -51,6 +51,8 @@ PASSAGE, SUPPORT, GENERALISE, REMOVE, SHORTEST = 1000, 3, 0.5, 0.8, 3
 CHANCE = 0.01
 #: Bytes that are sent to all executors at most; more are joined by shuffle.
 SENT_BYTES = 4 << 20
+#: Flags of a text by which its words are looked through for marked terms.
+FLAGS = 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -204,13 +206,14 @@ def _sent(rows: DataFrame, n_bytes: Column) -> DataFrame:
     return F.broadcast(rows) if (rows.agg(F.sum(n_bytes + 48)).first()[0] or 0) <= SENT_BYTES else rows
 
 
-def _words(texts: DataFrame) -> DataFrame:
-    """Rows of (digest, term, start, end): all words of rows of (digest, text), in texts of any length."""
-    pairs = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("value"))
-    rows = texts.select("digest", F.posexplode(pairs).alias("at", "w")).select("digest", "at", F.char_length("w.gap").alias("gap"), F.col("w.value").alias("value"))
-    length = F.coalesce(F.char_length("value"), F.lit(0))
-    rows = rows.withColumn("end", F.sum((F.col("gap") + length).cast("bigint")).over(Window.partitionBy("digest").orderBy("at")))
-    return rows.where(F.col("value").isNotNull()).select("digest", F.lower("value").alias("term"), (F.col("end") - length).alias("start"), "end")
+def _words(found: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows of (digest, term, start, end): the places of words that may be marked in their text. A text's marked terms
+    set flags by hash, so that of its words only those with a flag leave the row; the join that follows is exact."""
+    flag = lambda term: F.pmod(F.xxhash64(term), F.lit(FLAGS)).cast("int")
+    flags = marked.groupBy("digest").agg(F.collect_set(flag(F.col("term"))).alias("flags"))
+    rows = found.join(flags, "digest").select("digest", "text", F.transform(F.sequence(F.lit(0), F.lit(FLAGS - 1)), lambda k: F.array_contains("flags", k)).alias("flags"))
+    words = F.filter(placed(F.col("text"), WORD, "term"), lambda w: F.get(F.col("flags"), flag(F.lower(w["value"]))))
+    return rows.select("digest", F.explode_outer(words).alias("w")).select("digest", F.lower("w.value").alias("term"), "w.start", "w.end")
 
 
 def _marked(found: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -227,7 +230,7 @@ def added_spans(docs: DataFrame) -> DataFrame:
     found = _found(docs)
     marked = _marked(found, disclosing(docs))
     texts = found.join(marked.select("digest").distinct(), "digest", "left_semi")
-    words = _words(texts).join(marked, ["digest", "term"]).select("digest", "start", "end", "term", "share", (F.col("end") - 1).alias("place"))
+    words = _words(found, marked).join(marked, ["digest", "term"]).select("digest", "start", "end", "term", "share", (F.col("end") - 1).alias("place"))
     spans = texts.select("digest", F.explode_outer("spans").alias("s")).select("digest", "s.start", "s.end", F.col("s.start").alias("place"))
     # A word lies in a span if one that begins before the word's end ends behind its start.
     reach = F.max(F.when(F.col("term").isNull(), F.col("end"))).over(Window.partitionBy("digest").orderBy("place", F.col("term").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
