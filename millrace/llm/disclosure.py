@@ -211,9 +211,10 @@ def _words(found: DataFrame, marked: DataFrame) -> DataFrame:
     set flags by hash, so that of its words only those with a flag leave the row; the join that follows is exact."""
     flag = lambda term: F.pmod(F.xxhash64(term), F.lit(FLAGS)).cast("int")
     flags = marked.groupBy("digest").agg(F.collect_set(flag(F.col("term"))).alias("flags"))
-    rows = found.join(flags, "digest").select("digest", "text", F.transform(F.sequence(F.lit(0), F.lit(FLAGS - 1)), lambda k: F.array_contains("flags", k)).alias("flags"))
-    words = F.filter(placed(F.col("text"), WORD, "term"), lambda w: F.get(F.col("flags"), flag(F.lower(w["value"]))))
-    return rows.select("digest", F.explode_outer(words).alias("w")).select("digest", F.lower("w.value").alias("term"), "w.start", "w.end")
+    slots = F.transform(F.sequence(F.lit(0), F.lit(FLAGS - 1)), lambda k: F.array_contains("flags", k))
+    words = let(slots, lambda s: F.filter(placed(F.col("text"), WORD, "term"), lambda w: F.get(s, flag(F.lower(w["value"])))))
+    rows = found.join(flags, "digest").select("digest", F.explode_outer(words).alias("w"))
+    return rows.select("digest", F.lower("w.value").alias("term"), "w.start", "w.end")
 
 
 def _marked(found: DataFrame, chosen: DataFrame) -> DataFrame:
