@@ -8,8 +8,9 @@ of words, by dynamic programming within the band of places that so many aligned
 
 Texts move to blocks, not to pairs. Equal texts are one node, by their digest. First all texts of a bucket are compared
 with one pivot, in blocks of at most about `CHUNK` texts or `CHUNK_WORDS` words, so that a bucket of copies costs one
-comparison for each text. In buckets whose texts are of several classes then, members are dealt to chunks by length;
-each two chunks that may hold near texts of different classes meet in one block. There a bound by counts of words,
+comparison for each text. A bucket whose texts are of several classes then is one block if it fits in a chunk; members
+of longer ones are dealt to chunks by length, and each two chunks that may hold near texts of different classes meet in
+one block. There a bound by counts of words,
 which no alignment exceeds, rules most pairs out before any is aligned, a pair is aligned in its first common bucket
 only, and what leaves a block are links between its classes, fewer than it has texts.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import MULTIPLIER, U, arrow_column, cut, free_name, slices, span_hashes, table
@@ -342,31 +343,44 @@ def _with_pivots(members: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Blocks of the buckets that have several classes: chunks by length (a band of it reaches to 1 / SIMILARITY of its
-    lower end, so that near texts are in one band or in two neighbours), those of the largest class apart, since they
-    needn't meet each other."""
+    """Blocks of the buckets that have several classes. A bucket that fits in a chunk is one block, and each of its texts
+    one row. Of longer ones the texts are filed in strips by length: neighbouring bands (each reaches to 1 / SIMILARITY of
+    its lower end) that fit in a chunk together are one strip, and a strip over a chunk is dealt to several. Strips meet if
+    they may hold near texts; those of the largest class are apart if it fills a chunk, since they needn't meet each other."""
     named = members.select("bucket", "digest", "words").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    by_class = named.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("most"))
-    mixed = cut(by_class.where("classes > 1").select("bucket", F.col("most.label").alias("largest")))
-    band = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
-    rest = cut(named.join(mixed, "bucket").select("bucket", "digest", "words", "label", band.alias("band"), (F.col("label") == F.col("largest")).alias("big")))
-    cell = ["bucket", "band", "big"]
-    cells = cut(rest.groupBy(*cell).agg(F.count("*").alias("n"), _chunks(F.count("*"), F.sum("words")).alias("chunks"), F.min("label").alias("low"), F.max("label").alias("high")))
-    chunks = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    one = chunks.withColumn("meets", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    two = chunks.select("bucket", F.col("band").alias("meets"), *(F.col(c).alias(f"{c}_2") for c in ("band", "big", "k", "low", "high")))
-    ordered = (F.col("band") < F.col("band_2")) | (F.struct("big", "k") <= F.struct(F.col("big_2"), F.col("k_2")))
+    by_class = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("words").alias("n_words"))
+    by_bucket = by_class.groupBy("bucket").agg(F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.sum("n_words").alias("n_words"))
+    one_block = (F.col("n") <= CHUNK) & (F.col("n_words") <= CHUNK_WORDS)
+    largest = F.when(F.col("most.n") >= CHUNK, F.col("most.label"))
+    mixed = cut(by_bucket.where("classes > 1").select("bucket", one_block.alias("fits"), largest.alias("largest")))
+    log = F.floor(F.log(F.greatest("words", F.lit(1)).cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9).cast("int")
+    band = F.when(F.col("fits"), 0).otherwise(log)
+    big = F.when(F.col("fits"), False).otherwise(F.coalesce(F.col("label") == F.col("largest"), F.lit(False)))
+    rest = cut(named.join(mixed, "bucket").select("bucket", "digest", "words", "label", band.alias("band"), big.alias("big")))
+    cells = rest.groupBy("bucket", "band", "big").agg(F.count("*").alias("n"), F.sum("words").alias("n_words"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("words").alias("least"), F.max("words").alias("most"))
+    # A few rows for each bucket and band of lengths, so that a bucket's run through one window.
+    before = Window.partitionBy("bucket", "big").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    filled = [F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "n_words")]
+    cells = cut(cells.withColumn("strip", F.floor(F.greatest(filled[0] / CHUNK, filled[1] / CHUNK_WORDS)).cast("int")))
+    cell = ["bucket", "strip", "big"]
+    strips = cut(cells.groupBy(*cell).agg(_chunks(F.sum("n"), F.sum("n_words")).alias("chunks"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most")))
+    chunks = strips.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    two = chunks.select("bucket", *(F.col(c).alias(f"{c}_2") for c in ("strip", "big", "k", "low", "high", "least", "most")))
+    ordered = F.struct("strip", "big", "k") <= F.struct(F.col("strip_2"), F.col("big_2"), F.col("k_2"))
+    alike = (F.col("most_2") >= F.lit(SIMILARITY) * F.col("least") - 1e-9) & (F.col("most") >= F.lit(SIMILARITY) * F.col("least_2") - 1e-9)
     differ = F.least("low", "low_2") != F.greatest("high", "high_2")
-    block = F.xxhash64("bucket", "band", "big", "k", "band_2", "big_2", "k_2")
-    met = one.join(two, ["bucket", "meets"]).where(ordered & differ & ~(F.col("big") & F.col("big_2"))).withColumn("block", block)
-    same = (F.col("band") == F.col("band_2")) & (F.col("big") == F.col("big_2")) & (F.col("k") == F.col("k_2"))
-    met = cut(met.withColumn("same", same).select("block", "same", "bucket", "band", "big", "k", "band_2", "big_2", "k_2"))
+    block = F.xxhash64("bucket", "strip", "big", "k", "strip_2", "big_2", "k_2")
+    met = chunks.join(two, "bucket").where(ordered & alike & differ & ~(F.col("big") & F.col("big_2"))).withColumn("block", block)
+    same = (F.col("strip") == F.col("strip_2")) & (F.col("big") == F.col("big_2")) & (F.col("k") == F.col("k_2"))
+    met = cut(met.withColumn("same", same).select("block", "same", "bucket", "strip", "big", "k", "strip_2", "big_2", "k_2"))
     # A chunk's texts meet each other in one of the blocks where they meet others, if there is one.
     host = met.groupBy(*cell, "k").agg(F.min(F.when(~F.col("same"), F.col("block"))).alias("host"), F.max("same").alias("own"))
     left = met.join(host, [*cell, "k"]).where(~F.col("same") | F.col("host").isNull())
     left = left.select("block", F.when(F.col("same") | F.col("own") & (F.col("block") == F.col("host")), 2).otherwise(0).alias("side"), *cell, "k")
-    right = met.where(~F.col("same")).select("block", F.lit(1).alias("side"), "bucket", F.col("band_2").alias("band"), F.col("big_2").alias("big"), F.col("k_2").alias("k"))
-    dealt = rest.join(nodes.select("digest", "keys"), "digest").join(cells.select(*cell, "chunks"), cell).withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
+    right = met.where(~F.col("same")).select("block", F.lit(1).alias("side"), "bucket", F.col("strip_2").alias("strip"), F.col("big_2").alias("big"), F.col("k_2").alias("k"))
+    dealing = cut(cells.select("bucket", "band", "big", "strip").join(strips.select(*cell, "chunks"), cell))
+    filed = rest.join(dealing, ["bucket", "band", "big"])
+    dealt = filed.join(nodes.select("digest", "keys"), "digest").withColumn("k", F.pmod(F.xxhash64("digest"), "chunks").cast("int"))
     placed = dealt.join(left.unionByName(right), [*cell, "k"])
     return cut(placed.select("block", "side", "bucket", "keys", "digest", "label"))
 

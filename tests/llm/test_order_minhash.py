@@ -202,3 +202,19 @@ def test_pairs_in_a_mixed_hot_bucket_meet(spark):
     near = [(a, b) for a, b, is_near in pairs if is_near]
     assert sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near) > 40
     assert all(got[k] == k for k in range(700))
+
+
+def test_a_text_is_moved_once_for_each_chunk_that_it_meets(spark, monkeypatch):
+    """A bucket of a chunk at most is one block, whatever its lengths and classes; in a longer one the rows of a text are
+    bounded by the chunks that the bucket has."""
+    monkeypatch.setattr(om, "CHUNK", 64)
+    sizes = {0: 40, 1: 64, 2: 300}
+    members = [(b, bytes([b, k // 256, k % 256]), 20 + k % 70, bytes([b, 0, k % 3 * (k % 20)])) for b, n in sizes.items() for k in range(n)]
+    frame = spark.createDataFrame([m[:3] for m in members], "bucket bigint, digest binary, words bigint")
+    labels = spark.createDataFrame([(m[1], m[3]) for m in members], "node binary, label binary")
+    nodes = spark.createDataFrame([(m[1], [m[0]]) for m in members], "digest binary, keys array<bigint>")
+    rows = om._mixed(frame, labels, nodes).collect()
+    for b in (0, 1):
+        own = [r for r in rows if r["bucket"] == b]
+        assert len(own) == sizes[b] and len({r["block"] for r in own}) == 1 and {r["side"] for r in own} == {2}
+    assert sum(r["bucket"] == 2 for r in rows) <= 300 * (300 // 64 + 3)
